@@ -28,7 +28,7 @@ class Hashes(dict):
     """Token to 32-bit hash, with its shape above that: 0 other, 1 lower, 2 capitalised, 3 upper, 4 digits.
     ``room`` bounds the cache of a worker."""
 
-    room = 400_000
+    room = 150_000
 
     def __missing__(self, token: str) -> int:
         if len(self) >= self.room:
