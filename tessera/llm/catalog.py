@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import remainder, table
+from tessera.llm.mixing import mix, mix_sql
 from tessera.llm.quality import fit_quality, score_quality
+from tessera.llm.sharding import shard, shard_sql
 from tessera.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -26,9 +28,17 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_toxicity)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op4_mixing, op7_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_mixing": mix_sql(), "op7_sharding": shard_sql()}

@@ -58,21 +58,21 @@ def salted_rank(df: DataFrame, keys: list[str], order: list[Column], salt: Colum
     offsets = counts.select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
         F.col("_salt").alias("_ksalt"),
-        (F.sum("_n").over(by_salt.orderBy("_salt").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"),
-        F.sum("_n").over(by_salt).alias("_all"),
+        (F.sum("_n").over(by_salt.orderBy("_salt").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_under"),
+        F.sum("_n").over(by_salt).alias("_total"),
     )
     local = F.row_number().over(Window.partitionBy(*parts, "_salt").orderBy(*order))
     on = F.col("_salt").eqNullSafe(F.col("_ksalt"))
     for i, k in enumerate(keys):
         on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     out = df.withColumn("_local", local).join(offsets, on)
-    out = out.withColumn(rank, F.col("_before") + F.col("_local") - 1)
+    out = out.withColumn(rank, F.col("_under") + F.col("_local") - 1)
     if total:
-        out = out.withColumn(total, F.col("_all"))
-    return out.drop("_salt", "_ksalt", "_before", "_all", "_local", *[f"_k{i}" for i in range(len(keys))])
+        out = out.withColumn(total, F.col("_total"))
+    return out.drop("_salt", "_ksalt", "_under", "_total", "_local", *[f"_k{i}" for i in range(len(keys))])
 
 
-def chunks(frames: Iterator[pd.DataFrame], column: str, most: int = 2_000_000) -> Iterator[pd.DataFrame]:
+def chunks(frames: Iterator[pd.DataFrame], column: str, most: int = 1_000_000) -> Iterator[pd.DataFrame]:
     """Cut Arrow batches so that a chunk holds about ``most`` characters, or one longer row."""
     for frame in frames:
         start, held = 0, 0
@@ -83,3 +83,17 @@ def chunks(frames: Iterator[pd.DataFrame], column: str, most: int = 2_000_000) -
                 start, held = i + 1, 0
         if start < len(frame):
             yield frame.iloc[start:]
+
+
+def steady(docs: DataFrame, name: str) -> DataFrame:
+    """``docs``, if its rows come from files alone, as then each scan deals them out alike; else a
+    materialized copy. Needed wherever rows are numbered by partition in two scans."""
+    plan = docs._jdf.queryExecution().sparkPlan().toString()
+    plain = not any(x in plan for x in ("Exchange", "Join", "Aggregate", "InMemory", "Python", "Pandas", "Arrow", "ExistingRDD", "LocalTable", "Window", "Generate", "Limit"))
+    return docs if plain else materialize(docs, name)
+
+
+def n_words(text: Column) -> Column:
+    """Number of ``[^\\x20\\x09-\\x0D]+`` in a text, 0 for null."""
+    inner = F.regexp_replace(F.coalesce(text, F.lit("")), "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$", "")
+    return F.when(inner == "", F.lit(0)).otherwise(F.size(F.split(inner, BLANKS))).cast("long")
