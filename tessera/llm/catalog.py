@@ -12,6 +12,7 @@ from tessera.llm.mixing import mix, mix_sql
 from tessera.llm.quality import fit_quality, score_quality
 from tessera.llm.rules import judge
 from tessera.llm.sharding import shard, shard_sql
+from tessera.llm.spotsigs import fingerprints
 from tessera.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -33,6 +34,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
@@ -42,7 +47,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op4_mixing, op7_sharding, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op4_mixing, op5_fingerprints, op7_sharding, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
