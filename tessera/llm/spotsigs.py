@@ -15,15 +15,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Common words of English, German, French and Spanish, the anchors.
+# Common words of English, German, French and Spanish and the cell mark of tables, the anchors.
 ANCHORS = (
+    "| "
     "a an and are as at be but by for from had has have he her his i in is it its not of on or she that the their they this to was we were which with you "
     "aber als am auch auf aus bei das dass dem den der des die durch ein eine einem einen einer er es für hat ich im ist mit nach nicht noch oder sich sie sind "
     "so um und vom von war wie wird zu zum zur "
     "au aux avec ce ces cette dans de des du elle en est et il ils je la le les leur mais ne nous on ou par pas plus pour qu que qui sa se ses son sont sur un une "
     "al como con del el ella en entre era es esta este fue ha la las lo los más muy no o para pero por que se ser si sin su sus un una y ya"
 ).split()
-WORD = r"[\p{L}\p{N}]+"
+WORD = r"[\p{L}\p{N}]+|\|"
 #: Content words in a chain; most rows of a group of neighbouring ids; most such groups, which bounds the broadcast.
 CHAIN, GROUP_ROWS, MOST_GROUPS = 2, 2_000, 1_000_000
 
