@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import remainder, table
 from tessera.llm.mixing import mix, mix_sql
+from tessera.llm.packing import pack
 from tessera.llm.quality import fit_quality, score_quality
 from tessera.llm.rules import judge
 from tessera.llm.sharding import shard, shard_sql
@@ -42,12 +43,16 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("llr")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op4_mixing, op5_fingerprints, op7_sharding, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op4_mixing, op5_fingerprints, op7_sharding, op9_packing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
