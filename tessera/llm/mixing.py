@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import n_words, salted_rank, steady
+from tessera.llm.common import materialize, n_words, salted_rank, steady
 
 WEIGHTS = (5, 2, 1)
 SHARE, CAP, SEED = 1.5, 2.0, 41
@@ -58,7 +58,7 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     source without words has target 0; equal rows count each; an empty table gives no rows; other columns of
     ``docs`` are ignored, but ``_row``, which is kept."""
     extra = [c for c in docs.columns if c == "_row"]
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *extra)
+    sized = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *extra), "sizes")
     goal = targets(sized)
     digits = F.col("size").cast("string")
     hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
