@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import jaccard
 from tessera.llm.common import remainder, table
 from tessera.llm.mixing import mix, mix_sql
 from tessera.llm.packing import pack
@@ -39,6 +40,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
@@ -52,7 +57,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op4_mixing, op5_fingerprints, op7_sharding, op9_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op4_mixing, op5_fingerprints, op6_ngram_jaccard_join, op7_sharding, op9_packing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
