@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BLANKS
+from tessera.llm.common import BLANKS, bound
 
 BUCKETS = 1 << 16
 TARGET_ROWS = 50_000
@@ -21,7 +21,7 @@ TARGET_ROWS = 50_000
 SMOOTHING = 0.05
 THRESHOLD = -0.35
 TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
-SYMBOLS = "#*$%&|<>"
+SYMBOL = "[#*$%&|<>]"
 
 
 def _text(column: str = "text") -> Column:
@@ -47,10 +47,8 @@ def base_counts(docs: DataFrame) -> DataFrame:
     text = F.col("_text")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = docs.withColumn("_text", _text()).withColumn("_words", words_of(text)).withColumn("_lines", lines)
-    grams = F.when(
-        F.size("_words") >= 3,
-        F.transform(F.sequence(F.lit(0), F.size("_words") - 3), lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2))),
-    ).otherwise(F.array().cast("array<bigint>"))
+    starts = F.slice("_words", F.lit(1), F.greatest(F.size("_words") - 2, F.lit(0)))
+    grams = F.transform(starts, lambda w, i: F.xxhash64(w, F.get("_words", i + 1), F.get("_words", i + 2)))
     out = out.withColumn("_grams", grams).withColumn("_sorted", sorted_windows(F.col("_grams")))
     same = lambda e, j, by: F.coalesce(F.get(F.col("_sorted"), j + by)["g"] == e["g"], F.lit(False))
     found = F.filter("_sorted", lambda e, j: same(e, j, -1) | same(e, j, 1))
@@ -60,8 +58,8 @@ def base_counts(docs: DataFrame) -> DataFrame:
     )
     counted = {
         "n_words": F.size("_words").cast("long"),
-        "word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+        "n_symbols": (F.size(F.split(text, SYMBOL)) - 1).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_repeat_words": F.when(F.size("_sorted") == 0, F.lit(0)).otherwise(covered).cast("long"),
     }
@@ -69,21 +67,24 @@ def base_counts(docs: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def with_buckets(docs: DataFrame, name: str = "_buckets") -> DataFrame:
-    """Add the buckets of a text's hashed unigrams and bigrams, as an array."""
-    hashes = F.transform(F.regexp_extract_all(_text(), F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
-    less = F.greatest(F.size("_h") - 1, F.lit(0))
-    pairs = F.zip_with(F.slice("_h", F.lit(1), less), F.slice("_h", F.lit(2), less), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(BUCKETS)).cast("int"))
-    single = F.transform("_h", lambda a: F.pmod(a, F.lit(BUCKETS)).cast("int"))
-    return docs.withColumn("_h", hashes).withColumn(name, F.concat(single, pairs)).drop("_h")
+def buckets(text: Column) -> Column:
+    """The buckets of a text's hashed unigrams and bigrams, as an array. The hashes are bound once: a column of
+    them would be worked out again for each use."""
+
+    def grams(h: Column) -> Column:
+        less = F.greatest(F.size(h) - 1, F.lit(0))
+        pairs = F.zip_with(F.slice(h, F.lit(1), less), F.slice(h, F.lit(2), less), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(BUCKETS)).cast("int"))
+        return F.concat(F.transform(h, lambda a: F.pmod(a, F.lit(BUCKETS)).cast("int")), pairs)
+
+    return bound(F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t)), grams)
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
     """ln(target / raw) of each bucket. ``trusted``: (doc_id) of at most ``TARGET_ROWS`` rows. Without any
     trusted text all ratios are 0, so the method keeps everything."""
     mark = F.broadcast(trusted.select("doc_id").distinct().withColumn("_trusted", F.lit(1)))
-    marked = with_buckets(docs.select("doc_id", "text").join(mark, "doc_id", "left").select("text", "_trusted"))
-    counts = marked.select(F.explode("_buckets").alias("bucket"), "_trusted").groupBy("bucket").agg(
+    marked = docs.select("doc_id", "text").join(mark, "doc_id", "left")
+    counts = marked.select(F.explode(buckets(_text())).alias("bucket"), "_trusted").groupBy("bucket").agg(
         F.count(F.lit(1)).alias("raw"), F.count("_trusted").alias("target")
     )
     raw, target = [0] * BUCKETS, [0] * BUCKETS
@@ -102,9 +103,11 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
 def add_ratio(docs: DataFrame, ratios: list[float]) -> DataFrame:
     """Add ``llr``: the mean log ratio over a text's n-grams, 0 for a text without any."""
     table = F.split(F.lit(" ".join(map(repr, ratios))), " ").cast("array<double>")
-    total = F.aggregate("_buckets", F.lit(0.0), lambda a, b: a + F.get(table, b))
-    out = with_buckets(docs)
-    return out.withColumn("llr", F.when(F.size("_buckets") > 0, total / F.size("_buckets")).otherwise(F.lit(0.0))).drop("_buckets")
+
+    def mean(found: Column) -> Column:
+        return F.when(F.size(found) > 0, F.aggregate(found, F.lit(0.0), lambda a, b: a + F.get(table, b)) / F.size(found)).otherwise(F.lit(0.0))
+
+    return docs.withColumn("llr", bound(buckets(_text()), mean))
 
 
 def trusted_rows(labels: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.llm.common import bound
+
 # Common words of English, German, French and Spanish and the cell mark of tables, the anchors.
 ANCHORS = (
     "| "
@@ -48,17 +50,12 @@ def signatures(text: Column, chain: int = CHAIN) -> Column:
                 lambda s: s.isNotNull(),
             )
 
-        return _let(places, chained)
+        return bound(places, chained)
 
     whole = F.array(F.pmod(F.xxhash64(text), F.lit(1 << 32)))
     tokens = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-    found = F.when(F.size(tokens) > 0, _let(tokens, of)).otherwise(F.array().cast("array<bigint>"))
-    return _let(found, lambda s: F.when(F.size(s) > 0, F.sort_array(F.array_distinct(s))).otherwise(whole))
-
-
-def _let(value: Column, body) -> Column:  # noqa: ANN001
-    """``body`` of ``value``, which is worked out once."""
-    return F.get(F.transform(F.array(value), body), 0)
+    found = F.when(F.size(tokens) > 0, bound(tokens, of)).otherwise(F.array().cast("array<bigint>"))
+    return bound(found, lambda s: F.when(F.size(s) > 0, F.sort_array(F.array_distinct(s))).otherwise(whole))
 
 
 def fingerprint(signs: Column) -> Column:
