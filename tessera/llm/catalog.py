@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import jaccard
 from tessera.llm.common import remainder, table
+from tessera.llm.language import score_language
 from tessera.llm.mixing import mix, mix_sql
 from tessera.llm.packing import pack
 from tessera.llm.quality import fit_quality, score_quality
@@ -48,6 +49,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = score_language(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 7) != 2)
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -57,7 +63,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op4_mixing, op5_fingerprints, op6_ngram_jaccard_join, op7_sharding, op9_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op4_mixing, op5_fingerprints, op6_ngram_jaccard_join, op7_sharding, op8_lm_scoring, op9_packing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
