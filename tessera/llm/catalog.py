@@ -16,6 +16,7 @@ from tessera.llm.quality import fit_quality, score_quality
 from tessera.llm.rules import judge
 from tessera.llm.sharding import shard, shard_sql
 from tessera.llm.spotsigs import fingerprints
+from tessera.llm.substrings import digests
 from tessera.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -33,6 +34,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -63,7 +68,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op4_mixing, op5_fingerprints, op6_ngram_jaccard_join, op7_sharding, op8_lm_scoring, op9_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_suffix_array_dedup, op4_mixing, op5_fingerprints, op6_ngram_jaccard_join, op7_sharding, op8_lm_scoring, op9_packing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
