@@ -7,8 +7,9 @@ If 100 |x & y| >= 85 |x | y|, the first n - ceil(0.85 n) + L columns of both row
 * the product is formed over those prefix columns only, dealt out in blocks by column; a column with a single
   row is dropped; pairs outside the size bound are discarded before they are counted, pairs with under L
   shared entries after;
-* a column first contributes its neighbours in order of size, a number of pairs linear in its rows. What the
-  exact product of these full rows confirms is merged into components;
+* a column first contributes its neighbours in order of size, and the pairs with its hub, the row that meets
+  most others: a number of pairs linear in its rows. What the exact product of these full rows confirms is
+  merged into components;
 * then each column contributes the pairs of rows that are still in different components, so that no possible
   link is lost, while a group of copies never emits all of its pairs.
 """
@@ -22,7 +23,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,7 +32,7 @@ from tessera.llm.components import components
 
 WIDTH, PERCENT = 4, 85
 #: L above; and the sides of the column count, 2**20 to 2**26 buckets, a bound on what is broadcast.
-SHARED, LEAST_BITS, MOST_BITS, SLICES = 4, 20, 26, 16
+SHARED, LEAST_BITS, MOST_BITS, SLICES = 2, 20, 26, 16
 #: Ids that are broadcast at most, 16 MB; more are joined by shuffle.
 FEW_IDS = 2_000_000
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -142,6 +143,17 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return joined.select("a", "b", "x", "y").mapInPandas(product, "a long, b long, overlap long")
 
 
+def possible(pair: list[Column], percent: int) -> tuple[Column, Column]:
+    """For an entry shared at places ``at`` of rows of sizes ``n``: whether both lie in the prefixes that the two
+    sizes allow, and how many entries these prefixes must share. A link needs an overlap of o = ceil(percent (n1
+    + n2) / (100 + percent)); then prefixes of n - o + L entries share L."""
+    n, at, m, to = pair
+    overlap = F.ceil((percent * (n + m)) / F.lit(float(100 + percent)) - F.lit(1e-9))
+    asked = F.least(F.lit(SHARED), overlap)
+    fit = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (at < n - overlap + asked) & (to < m - overlap + asked)
+    return fit, asked
+
+
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: documents link when 100 |x & y| >= ``percent`` |x | y|.
 
@@ -161,15 +173,20 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     entries = firsts.select("rep", "n", F.posexplode("columns").alias("at", "column"))
     by_size = Window.partitionBy("column").orderBy("n", "rep")
     near = entries.select(
-        "*", F.lag("rep").over(by_size).alias("prev"), F.lag("n").over(by_size).alias("prev_n"), F.lead("rep").over(by_size).alias("after")
+        "*", F.lag("rep").over(by_size).alias("prev"), F.lag("n").over(by_size).alias("prev_n"), F.lag("at").over(by_size).alias("prev_at"), F.lead("rep").over(by_size).alias("after")
     )
     near = materialize(near.where("prev IS NOT NULL OR after IS NOT NULL"), "columns")
-    fit = F.expr(f"100 * least(n, prev_n) >= {percent} * greatest(n, prev_n) AND rep <> prev")
-    least = lambda n: F.least(F.lit(SHARED), F.floor((percent * n + 99) / 100))
-    pairs = near.where(fit).groupBy(F.least("rep", "prev").alias("a"), F.greatest("rep", "prev").alias("b")).agg(
-        F.count(F.lit(1)).alias("shared"), F.min(F.least("n", "prev_n")).alias("n")
+    weight = near.groupBy("rep").agg(F.count(F.lit(1)).alias("weight"))
+    hubs = near.select("column", "rep", "n", "at").join(weight, "rep").groupBy("column").agg(F.max(F.struct("weight", -F.col("rep"), "n", "at")).alias("hub"))
+    stars = near.select("column", "rep", "n", "at").join(hubs, "column").select(
+        "rep", "n", "at", (-F.col("hub.col2")).alias("prev"), F.col("hub.n").alias("prev_n"), F.col("hub.at").alias("prev_at")
+    )
+    tried = near.where("prev IS NOT NULL").select(*stars.columns).union(stars).where("rep <> prev")
+    fit, asked = possible([F.col(c) for c in ("n", "at", "prev_n", "prev_at")], percent)
+    pairs = tried.where(fit).groupBy(F.least("rep", "prev").alias("a"), F.greatest("rep", "prev").alias("b")).agg(
+        F.count(F.lit(1)).alias("shared"), F.min(asked).alias("asked")
     )
-    pairs = materialize(pairs.where(F.col("shared") >= F.least(F.lit(2), least(F.col("n")))).select("a", "b"), "pairs")
+    pairs = materialize(pairs.where("shared >= asked").select("a", "b"), "pairs")
     edges = materialize(confirmed(pairs, docs, width, percent).select("a", "b"), "links")
     merged = components(edges)
 
@@ -178,12 +195,10 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     mixed = placed.groupBy("column").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("column")
     open_ = materialize(placed.join(mixed, "column"), "open")
     x, y = open_.alias("x"), open_.alias("y")
-    small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-    bound = F.least("x.at", "y.at") + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-    on = (F.col("x.column") == F.col("y.column")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component"))
-    on = on & (100 * small >= percent * large) & ((100 + percent) * bound >= percent * (F.col("x.n") + F.col("y.n")))
-    rest = x.join(y, on).groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min(small).alias("n"))
-    rest = rest.where(F.col("shared") >= least(F.col("n"))).select("a", "b").join(pairs, ["a", "b"], "left_anti")
+    fit, asked = possible([F.col(c) for c in ("x.n", "x.at", "y.n", "y.at")], percent)
+    on = (F.col("x.column") == F.col("y.column")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & fit
+    rest = x.join(y, on).groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min(asked).alias("asked"))
+    rest = rest.where("shared >= asked").select("a", "b").join(pairs, ["a", "b"], "left_anti")
     rest = materialize(rest, "rest")
     more = materialize(confirmed(rest, docs, width, percent).select("a", "b"), "links") if not rest.isEmpty() else None
     if more is not None and not more.isEmpty():
