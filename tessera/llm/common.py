@@ -85,6 +85,15 @@ def chunks(frames: Iterator[pd.DataFrame], column: str, most: int = 1_000_000) -
             yield frame.iloc[start:]
 
 
+def small_batches(docs: DataFrame, rows: int = 1000) -> DataFrame:
+    """``docs``, whose texts are long, to be handed to Python in batches of fewer rows than the default. A number
+    of rows that the session set itself stays."""
+    conf = docs.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return docs
+
+
 def steady(docs: DataFrame, name: str) -> DataFrame:
     """``docs``, if its rows come from files alone, as then each scan deals them out alike; else a
     materialized copy. Needed wherever rows are numbered by partition in two scans. The number of cores, which
@@ -93,7 +102,7 @@ def steady(docs: DataFrame, name: str) -> DataFrame:
     if not conf.get("spark.sql.files.minPartitionNum", None):
         conf.set("spark.sql.files.minPartitionNum", str(docs.sparkSession.sparkContext.defaultParallelism))
     plan = docs._jdf.queryExecution().sparkPlan().toString()
-    plain = not any(x in plan for x in ("Exchange", "Join", "Aggregate", "InMemory", "Python", "Pandas", "Arrow", "ExistingRDD", "LocalTable", "Window", "Generate", "Limit"))
+    plain = not any(x in plan for x in ("Exchange", "Join", "Aggregate", "InMemoryTableScan", "Python", "Pandas", "Arrow", "ExistingRDD", "LocalTable", "Window", "Generate", "Limit"))
     return docs if plain else materialize(docs, name)
 
 

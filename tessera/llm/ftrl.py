@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks
+from tessera.llm.common import chunks, small_batches
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -148,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, fea
         .groupBy("doc_id").agg(F.max(F.col(label)).cast("int").alias("_y"))
         .orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(config.max_rows)
     )
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    texts = small_batches(docs).select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
 
     def featurise(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = Hashes()
@@ -178,7 +178,7 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
         for part in chunks(frames, "text"):
             yield pd.DataFrame({"doc_id": part["doc_id"], column: scorer(list(part["text"]))})
 
-    return docs.select("doc_id", "text").mapInPandas(apply, f"doc_id long, {column} double")
+    return small_batches(docs).select("doc_id", "text").mapInPandas(apply, f"doc_id long, {column} double")
 
 
 def verdicts(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
@@ -192,4 +192,4 @@ def verdicts(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
             parts = [scorer(list(p["text"])) for p in chunks(iter([series.to_frame("text")]), "text")]
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
-    return docs.where(scored(F.col("text")) >= F.lit(threshold))
+    return small_batches(docs).where(scored(F.col("text")) >= F.lit(threshold))

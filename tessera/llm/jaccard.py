@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import chunks, materialize
+from tessera.llm.common import chunks, materialize, small_batches
 from tessera.llm.components import components
 
 WIDTH, PERCENT = 4, 85
@@ -161,7 +161,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     ids and texts are one document, given for each row; of an id with several texts, the rows of that id fall
     together in the component of its smallest. An empty table gives no rows; other columns are ignored."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = small_batches(docs).select("doc_id", "text")
     many = docs.count() * 512
     bits = min(MOST_BITS, max(LEAST_BITS, many.bit_length() - 6))
     levels = spark.sparkContext.broadcast(column_counts(docs, bits, width))

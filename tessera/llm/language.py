@@ -23,10 +23,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, steady
+from tessera.llm.common import materialize, small_batches, steady
 
 #: Rows of a block; rows for each range of bigram hashes, and how many times fewer the ranges of words are.
-BLOCK_ROWS, RANGE_ROWS, WORD_RANGES = 1000, 3000, 4
+BLOCK_ROWS, RANGE_ROWS, WORD_RANGES = 2000, 2000, 4
 # A blank can't be in a word.
 START, END = (np.uint64(xxhash.xxh3_64_intdigest(b)) for b in (b" start", b" end"))
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
@@ -49,13 +49,13 @@ def backoff(count: np.ndarray) -> np.ndarray:
 
 def tokens_of(texts: list[str | None], cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, the end of each text included, and the number of tokens of each text."""
-    lists = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
-    sizes = np.array([len(x) + 1 for x in lists], np.int64)
-    out = np.full(int(sizes.sum()), END, np.uint64)
-    keep = np.ones(len(out), bool)
-    keep[np.cumsum(sizes) - 1] = False
-    out[keep] = np.fromiter((cache[w] for x in lists for w in x), np.uint64, int(keep.sum()))
-    return out, sizes
+    parts = []
+    for text in texts:
+        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+        hashes = np.full(len(words) + 1, END, np.uint64)
+        hashes[:-1] = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+        parts.append(hashes)
+    return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
 
 
 def contexts_of(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -141,7 +141,7 @@ def score_language(docs: DataFrame, train: Column) -> DataFrame:
 
     A null text counts as empty: its only token is the end. Equal rows are counted and scored each; without any
     training row, counts are 0 and all scores too; an empty table gives no rows; other columns are ignored."""
-    docs = steady(docs, "language")
+    docs = small_batches(steady(docs, "language"))
     n_rows = docs.count()
     ranges = (max(1, -(-n_rows // (RANGE_ROWS * WORD_RANGES))), max(1, -(-n_rows // RANGE_ROWS)))
     number = F.monotonically_increasing_id()
