@@ -1,10 +1,12 @@
 """Exact substring dedup: every byte covered by a string of ``LEAST`` bytes that also starts earlier.
 
-1. Anchors. Of the 50-byte strings in each 100-byte window, that with the smallest hash is an anchor, so equal
-   windows hold equal anchors at equal places. An anchor's context is what a window around it can reach: 50
+1. Anchors. Of the 40-byte strings in each 100-byte window, that with the smallest hash is an anchor, so equal
+   windows hold equal anchors at equal places. An anchor's context is what a window around it can reach: 60
    bytes on each side. Occurrences are gathered by anchor hash, each with a hash of its context.
 2. Copies of a context are settled there: all but the first are covered from end to end. Only the first of each
    context goes on, and only if its anchor has several contexts, so a passage copied everywhere costs its edges.
+   Contexts of an anchor are trimmed to what they share with any other, dropped if that is too short, and settled
+   once more, so what differs everywhere, as around a common line, goes no further.
 3. Run-length index. The contexts of a range of anchors, concatenated with separators of their own, are indexed by
    a run-compressed Burrows-Wheeler transform with the suffix sampled at each run's first row, together with its
    neighbour above and the length they share. Between samples, the neighbour moves along with the text and the
@@ -25,12 +27,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, materialize
+from tessera.llm.common import chunks, materialize, small_batches
 
-LEAST, GRAM = 100, 50
+LEAST, GRAM = 100, 40
 SIDE, WINDOW = LEAST - GRAM, LEAST - GRAM + 1
 #: Rows of documents for each range of anchor hashes; contexts for each index; bytes gathered before entries go out.
-RANGE_ROWS, INDEX_CONTEXTS, GATHER = 3000, 4000, 12_000_000
+RANGE_ROWS, INDEX_CONTEXTS, GATHER = 3000, 4000, 8_000_000
 #: Ids that are broadcast at most, 16 MB; more are joined by shuffle.
 FEW_IDS = 2_000_000
 NO_ID = -(1 << 63)
@@ -92,7 +94,11 @@ def anchors(data: np.ndarray, pair: tuple[Roller, Roller]) -> tuple[np.ndarray,
     start, end = np.maximum(place - SIDE, 0), np.minimum(place + GRAM + SIDE, len(data))
     around = second.between(second.sums(data), start, end)
     around ^= ((place - start) * 1024 + (end - start)).astype(np.uint64) * MIX
-    return place, h[place], around
+    return place, h[place], around >> AROUND
+
+
+#: Bits of a context's hash that are kept: it only tells apart contexts of one anchor hash.
+AROUND = np.uint64(16)
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -234,7 +240,8 @@ def marks(docs: DataFrame) -> DataFrame:
         group = np.cumsum(new_hash) - 1
         several = np.bincount(group, weights=new)[group] > 1
         send = (new & several) | later
-        return pd.DataFrame({"hash": (h[send] >> np.uint64(1)).astype(np.int64), "doc": doc[send], "place": place[send], "copy": later[send]})
+        shown = np.where(later[send], np.int64(0), (h[send] >> np.uint64(1)).astype(np.int64))
+        return pd.DataFrame({"hash": shown, "doc": doc[send], "place": place[send], "copy": later[send]})
 
     parts = docs.mapInPandas(found, "part int, hash binary, around binary, ids binary, nth binary, place binary")
     seen = materialize(parts.groupBy("part").applyInPandas(gathered, "hash long, doc long, place long, copy boolean"), "anchors")
@@ -254,27 +261,65 @@ def marks(docs: DataFrame) -> DataFrame:
                 data = text.encode("utf-8", "surrogatepass")
                 for w in wanted:
                     start = max(w["place"] - SIDE, 0)
-                    rows.append((w["hash"] * buckets >> 63, doc, start, data[start : w["place"] + GRAM + SIDE]))
-            yield pd.DataFrame(rows, columns=["bucket", "doc", "start", "context"])
+                    rows.append((w["hash"] * buckets >> 63, w["hash"], doc, start, w["place"] - start, data[start : w["place"] + GRAM + SIDE]))
+            yield pd.DataFrame(rows, columns=["bucket", "hash", "doc", "start", "left", "context"])
 
     def indexed(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates(["doc", "start", "context"])
-        rows = long_matches(frame["doc"].to_numpy(), frame["start"].to_numpy(), list(frame["context"]))
+        rows, frame = settled(frame.drop_duplicates(["hash", "doc", "start", "left"]))
+        if len(frame):
+            rows += long_matches(frame["doc"].to_numpy(), frame["start"].to_numpy(), list(frame["context"]))
         return pd.DataFrame(rows, columns=["doc", "start", "end"], dtype="int64")
 
-    contexts = docs.join(wants, "doc").mapInPandas(cut, "bucket long, doc long, start long, context binary")
+    contexts = docs.join(wants, "doc").mapInPandas(cut, "bucket long, hash long, doc long, start long, left long, context binary")
     return copies.union(contexts.groupBy("bucket").applyInPandas(indexed, "doc long, start long, end long"))
 
 
+def _shared_side(group: np.ndarray, sides: list[bytes]) -> np.ndarray:
+    """The longest start that each string shares with another of its group."""
+    sizes = np.array([len(x) for x in sides], np.int64)
+    padded = np.array(sides, f"S{SIDE}")
+    order = np.lexsort((padded, group))
+    table = padded[order].view(np.uint8).reshape(-1, SIDE)
+    same = np.minimum.accumulate(table[1:] == table[:-1], axis=1).sum(axis=1)
+    same = np.where(group[order][1:] == group[order][:-1], same, 0)
+    # null bytes at a string's end look like padding: never count beyond the longer string, which only keeps more
+    shared = np.zeros(len(sides), np.int64)
+    shared[order[1:]] = same
+    shared[order[:-1]] = np.maximum(shared[order[:-1]], same)
+    return np.minimum(shared, sizes)
+
+
+def settled(frame: pd.DataFrame) -> tuple[list[tuple[int, int, int]], pd.DataFrame]:
+    """Spans of trimmed contexts that equal an earlier one of the same anchor, and the contexts that are left."""
+    group, left, contexts = frame["hash"].to_numpy(), frame["left"].to_numpy(), list(frame["context"])
+    before = _shared_side(group, [c[:n][::-1] for c, n in zip(contexts, left, strict=True)])
+    behind = _shared_side(group, [c[n + GRAM :] for c, n in zip(contexts, left, strict=True)])
+    long = before + GRAM + behind >= LEAST
+    frame = frame.assign(start=frame["start"] + left - before, left=before, context=[c[n - a : n + GRAM + b] for c, n, a, b in zip(contexts, left, before, behind, strict=True)])
+    frame = frame[long].sort_values(["doc", "start"], kind="stable")
+    again = frame.duplicated(["hash", "left", "context"])
+    spans = frame[again]
+    ends = spans["start"] + spans["context"].str.len() if len(spans) else spans["start"]
+    return list(zip(spans["doc"].tolist(), spans["start"].tolist(), ends.tolist(), strict=True)), frame[~again]
+
+
 def _named(docs: DataFrame) -> DataFrame:
     return docs.withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID)))
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` with a column ``_spans`` of (start, end) to remove, null if there are none."""
+    """``docs`` with a column ``_spans`` of (start, end) to remove, null if there are none. Texts without spans
+    are not shuffled, if the ids of the others are few enough to broadcast."""
+    small_batches(docs)
     found = marks(_named(docs).select("doc", "text"))
-    spans = found.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    return _named(docs).join(spans, "doc", "left").drop("doc")
+    spans = materialize(found.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("_spans")), "spans")
+    named = _named(docs)
+    if spans.count() > FEW_IDS:
+        return named.join(spans, "doc", "left").drop("doc")
+    ids = F.broadcast(spans.select("doc"))
+    cut = named.join(ids, "doc", "left_semi").join(spans, "doc")
+    whole = named.join(ids, "doc", "left_anti").withColumn("_spans", F.lit(None).cast(spans.schema["_spans"].dataType))
+    return cut.select(*whole.columns).union(whole).drop("doc")
 
 
 def kept_bytes(text: str | None, spans) -> tuple[int, int, int, bytes]:  # noqa: ANN001
