@@ -76,8 +76,9 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
 def take(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The rows that the mix takes, with the columns of ``docs``; a row of two copies comes twice."""
     numbered = steady(docs, "mixing").withColumn("_row", F.monotonically_increasing_id())
-    chosen = mix(numbered, seed).where("copies > 0").select("_row", "copies")
-    repeated = numbered.join(chosen, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    chosen = mix(numbered, seed).where("copies > 0").select("_row", F.col("doc_id").alias("_id"), "copies")
+    same = (numbered["_row"] == chosen["_row"]) & numbered["doc_id"].eqNullSafe(chosen["_id"])
+    repeated = numbered.join(chosen, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
