@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions.distance import cer_at_least_one
-from tessera.functions.text import strip
+from tessera.functions.text import bound, strip
 
 # Month names and their numbers, in the order in which they are tried.
 MONTHS = {
@@ -41,8 +41,7 @@ def _by_month_name(t: Column) -> Column:
 
 def normalize_date_weak(text: Column) -> Column:
     """YYYY-MM-DD if the text holds a date, day or year first or with a month's name; else the text in capitals."""
-    t = _upper(text)
-    return F.coalesce(_swapped(t, DAY_FIRST, (3, 2, 1)), _swapped(t, YEAR_FIRST, (1, 2, 3)), _by_month_name(t), t)
+    return bound(_upper(text), lambda t: F.coalesce(_swapped(t, DAY_FIRST, (3, 2, 1)), _swapped(t, YEAR_FIRST, (1, 2, 3)), _by_month_name(t), t))
 
 
 def _century(two: Column, pivot: int) -> Column:
@@ -52,15 +51,19 @@ def _century(two: Column, pivot: int) -> Column:
 def normalize_date(text: Column, pivot: int = 25) -> Column:
     """YYYY-MM-DD by ordered patterns: printed dates, dates with a month's name, the date in a machine-readable
     line or an identity number, six bare digits; else the empty text. Years above ``pivot`` are 19YY."""
-    t = _upper(text)
-    bare = F.regexp_replace(t, r"[\s-]", "")
-    six = F.coalesce(
-        F.when((F.length(bare) >= 28) & F.contains(bare, F.lit("<")), F.regexp_extract(F.substring(bare, 14, 6), r"^(\d{6})$", 1)),
-        F.when(bare.rlike(r"^\d{12}$"), F.substring(bare, 1, 6)),
-        F.when(bare.rlike(r"^\d{6}$"), bare),
-    )
-    short = F.concat_ws("-", _century(F.substring(six, 1, 2), pivot), F.substring(six, 3, 2), F.substring(six, 5, 2))
-    return F.coalesce(_swapped(t, DAY_FIRST, (3, 2, 1)), _swapped(t, YEAR_FIRST, (1, 2, 3)), _by_month_name(t), F.when(F.coalesce(six, F.lit("")) != "", short), F.lit(""))
+
+    def read(t: Column) -> Column:
+        bare = F.regexp_replace(t, r"[\s-]", "")
+        six = F.coalesce(
+            F.when((F.length(bare) >= 28) & F.contains(bare, F.lit("<")), F.regexp_extract(F.substring(bare, 14, 6), r"^(\d{6})$", 1)),
+            F.when(bare.rlike(r"^\d{12}$"), F.substring(bare, 1, 6)),
+            F.when(bare.rlike(r"^\d{6}$"), bare),
+        )
+        short = F.concat_ws("-", _century(F.substring(six, 1, 2), pivot), F.substring(six, 3, 2), F.substring(six, 5, 2))
+        known = F.when(F.coalesce(six, F.lit("")) != "", short)
+        return F.coalesce(_swapped(t, DAY_FIRST, (3, 2, 1)), _swapped(t, YEAR_FIRST, (1, 2, 3)), _by_month_name(t), known, F.lit(""))
+
+    return bound(_upper(text), read)
 
 
 def _compact(text: Column) -> Column:
