@@ -85,6 +85,18 @@ def chunks(frames: Iterator[pd.DataFrame], column: str, most: int = 1_000_000) -
             yield frame.iloc[start:]
 
 
+#: Stands for a null id where rows pass through pandas, which would turn whole columns of ids into fractions.
+NO_ID = -(1 << 63)
+
+
+def whole_ids(df: DataFrame) -> DataFrame:
+    return df.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+
+
+def real_ids(df: DataFrame) -> DataFrame:
+    return df.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+
+
 def small_batches(docs: DataFrame, rows: int = 1000) -> DataFrame:
     """``docs``, whose texts are long, to be handed to Python in batches of fewer rows than the default. A number
     of rows that the session set itself stays."""

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, small_batches
+from tessera.llm.common import chunks, real_ids, small_batches, whole_ids
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -178,7 +178,8 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
         for part in chunks(frames, "text"):
             yield pd.DataFrame({"doc_id": part["doc_id"], column: scorer(list(part["text"]))})
 
-    return small_batches(docs).select("doc_id", "text").mapInPandas(apply, f"doc_id long, {column} double")
+    rows = whole_ids(small_batches(docs).select("doc_id", "text"))
+    return real_ids(rows.mapInPandas(apply, f"doc_id long, {column} double"))
 
 
 def verdicts(docs: DataFrame, model: Model, threshold: float) -> DataFrame:

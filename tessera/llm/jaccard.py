@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import chunks, materialize, small_batches
+from tessera.llm.common import chunks, materialize, real_ids, small_batches, whole_ids
 from tessera.llm.components import components
 
 WIDTH, PERCENT = 4, 85
@@ -110,7 +110,8 @@ def incidence(docs: DataFrame, levels: Broadcast, bits: int, width: int, percent
             n, k1, k2, columns = zip(*out, strict=True)
             yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "n": n, "k1": k1, "k2": k2, "columns": columns})
 
-    return docs.select("doc_id", "text").mapInPandas(rows, "doc_id long, n long, k1 long, k2 long, columns array<long>")
+    kept = whole_ids(docs.select("doc_id", "text")).mapInPandas(rows, "doc_id long, n long, k1 long, k2 long, columns array<long>")
+    return real_ids(kept)
 
 
 def full_rows(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:

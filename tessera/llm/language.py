@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, small_batches, steady
+from tessera.llm.common import materialize, real_ids, small_batches, steady, whole_ids
 
 #: Rows of a block; rows for each range of bigram hashes, and how many times fewer the ranges of words are.
 BLOCK_ROWS, RANGE_ROWS, WORD_RANGES = 2000, 2000, 4
@@ -146,7 +146,7 @@ def score_language(docs: DataFrame, train: Column) -> DataFrame:
     ranges = (max(1, -(-n_rows // (RANGE_ROWS * WORD_RANGES))), max(1, -(-n_rows // RANGE_ROWS)))
     number = F.monotonically_increasing_id()
     place = F.shiftleft(F.spark_partition_id().cast("long"), 33) + F.floor(number.bitwiseAND((1 << 33) - 1) / BLOCK_ROWS)
-    placed = docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"), place.alias("block"))
+    placed = whole_ids(docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"), place.alias("block")))
 
     def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = WordHashes()
@@ -208,4 +208,4 @@ def score_language(docs: DataFrame, train: Column) -> DataFrame:
 
     told = answers.where("block >= 0").select("kind", "part", "block", "mark", "at", "total")
     out = placed.groupBy("block").cogroup(told.groupBy("block"))
-    return out.applyInPandas(scored, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double, train_tokens long")
+    return real_ids(out.applyInPandas(scored, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double, train_tokens long"))

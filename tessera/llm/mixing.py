@@ -17,6 +17,8 @@ from tessera.llm.common import materialize, n_words, salted_rank, steady
 
 WEIGHTS = (5, 2, 1)
 SHARE, CAP, SEED = 1.5, 2.0, 41
+#: Names that no column of the input should have.
+ROW, COPY = "__tessera_row", "__tessera_copy"
 #: Hexadecimal digits of a hash that make a number from 0 to 1 without rounding.
 DIGITS = 13
 
@@ -56,8 +58,8 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
     Null or empty texts have size 0 and take no words; a null source is a source of its own, the last; a
     source without words has target 0; equal rows count each; an empty table gives no rows; other columns of
-    ``docs`` are ignored, but ``_row``, which is kept."""
-    extra = [c for c in docs.columns if c == "_row"]
+    ``docs`` are ignored, but ``ROW``, which is kept."""
+    extra = [c for c in docs.columns if c == ROW]
     sized = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *extra), "sizes")
     goal = targets(sized)
     digits = F.col("size").cast("string")
@@ -75,11 +77,12 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 def take(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The rows that the mix takes, with the columns of ``docs``; a row of two copies comes twice."""
-    numbered = steady(docs, "mixing").withColumn("_row", F.monotonically_increasing_id())
-    chosen = mix(numbered, seed).where("copies > 0").select("_row", F.col("doc_id").alias("_id"), "copies")
-    same = (numbered["_row"] == chosen["_row"]) & numbered["doc_id"].eqNullSafe(chosen["_id"])
-    repeated = numbered.join(chosen, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    numbered = steady(docs, "mixing").withColumn(ROW, F.monotonically_increasing_id())
+    chosen = mix(numbered, seed).where("copies > 0").select(F.col(ROW).alias("_at"), F.col("doc_id").alias("_id"), "copies")
+    same = (F.col(f"n.{ROW}") == F.col("c._at")) & F.col("n.doc_id").eqNullSafe(F.col("c._id"))
+    joined = numbered.alias("n").join(chosen.alias("c"), same)
+    repeated = joined.withColumn(COPY, F.explode(F.sequence(F.lit(1), F.col("c.copies").cast("int"))))
+    return repeated.select(*[F.col(f"n.`{c}`") for c in docs.columns])
 
 
 def mix_sql(seed: int = SEED) -> str:

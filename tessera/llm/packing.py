@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, materialize, salted_rank, small_batches
+from tessera.llm.common import chunks, materialize, real_ids, salted_rank, small_batches, whole_ids
 
 CAPACITY, END = 2048, 0
 #: Groups that the documents of one length are ranked in.
@@ -71,7 +71,8 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
             yield pd.DataFrame(rows, columns=names).astype({"doc_id": part["doc_id"].dtype})
 
     kept = ", ids array<int>" if with_ids else ""
-    return small_batches(docs).select("doc_id", "text").mapInPandas(cut, f"doc_id long, piece int, start long, length long, ids_crc32 long{kept}")
+    rows = whole_ids(small_batches(docs).select("doc_id", "text"))
+    return real_ids(rows.mapInPandas(cut, f"doc_id long, piece int, start long, length long, ids_crc32 long{kept}"))
 
 
 @dataclass(frozen=True)

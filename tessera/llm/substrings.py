@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, materialize, small_batches
+from tessera.llm.common import NO_ID, chunks, materialize, real_ids, small_batches, whole_ids
 
 LEAST, GRAM = 100, 40
 SIDE, WINDOW = LEAST - GRAM, LEAST - GRAM + 1
@@ -35,7 +35,6 @@ SIDE, WINDOW = LEAST - GRAM, LEAST - GRAM + 1
 RANGE_ROWS, INDEX_CONTEXTS, GATHER = 3000, 4000, 8_000_000
 #: Ids that are broadcast at most, 16 MB; more are joined by shuffle.
 FEW_IDS = 2_000_000
-NO_ID = -(1 << 63)
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -303,23 +302,28 @@ def settled(frame: pd.DataFrame) -> tuple[list[tuple[int, int, int]], pd.DataFra
     return list(zip(spans["doc"].tolist(), spans["start"].tolist(), ends.tolist(), strict=True)), frame[~again]
 
 
+#: Names that no column of the input should have.
+KEY, SPANS = "__tessera_doc", "__tessera_spans"
+
+
 def _named(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID)))
+    return docs.withColumn(KEY, F.coalesce("doc_id", F.lit(NO_ID)))
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` with a column ``_spans`` of (start, end) to remove, null if there are none. Texts without spans
-    are not shuffled, if the ids of the others are few enough to broadcast."""
+    """``docs`` with a column ``SPANS`` of (start, end) to remove, null if there are none. Texts without spans are
+    not shuffled, if the ids of the others are few enough to broadcast."""
     small_batches(docs)
-    found = marks(_named(docs).select("doc", "text"))
-    spans = materialize(found.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("_spans")), "spans")
     named = _named(docs)
+    found = marks(named.select(F.col(KEY).alias("doc"), "text"))
+    spans = found.groupBy(F.col("doc").alias(KEY)).agg(F.collect_list(F.struct("start", "end")).alias(SPANS))
+    spans = materialize(spans, "spans")
     if spans.count() > FEW_IDS:
-        return named.join(spans, "doc", "left").drop("doc")
-    ids = F.broadcast(spans.select("doc"))
-    cut = named.join(ids, "doc", "left_semi").join(spans, "doc")
-    whole = named.join(ids, "doc", "left_anti").withColumn("_spans", F.lit(None).cast(spans.schema["_spans"].dataType))
-    return cut.select(*whole.columns).union(whole).drop("doc")
+        return named.join(spans, KEY, "left").drop(KEY)
+    ids = F.broadcast(spans.select(KEY))
+    cut = named.join(ids, KEY, "left_semi").join(spans, KEY)
+    whole = named.join(ids, KEY, "left_anti").withColumn(SPANS, F.lit(None).cast(spans.schema[SPANS].dataType))
+    return cut.select(*[F.col(f"`{c}`") for c in whole.columns]).union(whole).drop(KEY)
 
 
 def kept_bytes(text: str | None, spans) -> tuple[int, int, int, bytes]:  # noqa: ANN001
@@ -351,12 +355,12 @@ def digests(docs: DataFrame) -> DataFrame:
 
     def digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = [kept_bytes(t, s) for t, s in zip(frame["text"], frame["_spans"], strict=True)]
+            out = [kept_bytes(t, s) for t, s in zip(frame["text"], frame[SPANS], strict=True)]
             n, gone, spans, kept = zip(*out, strict=True) if out else ((), (), (), ())
             yield pd.DataFrame({"doc_id": frame["doc_id"], "n_bytes": n, "n_removed": gone, "n_spans": spans, "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept]})
 
-    spanned = with_spans(docs.select("doc_id", "text")).select("doc_id", "text", "_spans")
-    return spanned.mapInPandas(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    spanned = with_spans(docs.select("doc_id", "text")).select("doc_id", "text", SPANS)
+    return real_ids(whole_ids(spanned).mapInPandas(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -368,7 +372,7 @@ def dedup(docs: DataFrame) -> DataFrame:
         return pd.Series([t if s is None or not len(s) else kept_bytes(t, s)[3].decode("utf-8", "ignore") for t, s in zip(text, spans, strict=True)], dtype=object)
 
     out = with_spans(docs)
-    out = out.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut(F.col("text"), F.col("_spans"))))
+    out = out.withColumn("text", F.when(F.col(SPANS).isNull(), F.col("text")).otherwise(cut(F.col("text"), F.col(SPANS))))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
