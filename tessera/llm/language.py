@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, real_ids, small_batches, steady, whole_ids
+from tessera.llm.common import materialize, real_ids, release, small_batches, steady, whole_ids
 
 #: Rows of a block; rows for each range of bigram hashes, and how many times fewer the ranges of words are.
 BLOCK_ROWS, RANGE_ROWS, WORD_RANGES = 2000, 2000, 4
@@ -170,6 +170,7 @@ def score_language(docs: DataFrame, train: Column) -> DataFrame:
                 held.append(rows)
         if held:
             yield emit(now, held)
+        release()
 
     def added(frame: pd.DataFrame) -> pd.DataFrame:
         keys = [of_blob(x) for x in frame["keys"]]
@@ -186,6 +187,8 @@ def score_language(docs: DataFrame, train: Column) -> DataFrame:
         for block, mark, a, b in zip(frame["block"], frame["mark"], ends - sizes, ends, strict=True):
             other = np.flatnonzero(total[a:b] != own[a:b])
             answers.append((kind, int(frame["part"].iloc[0]), block, mark, to_blob(other), plain_blob(total[a:b][other]), 0, 0))
+        del keys, own, flat, distinct, which, totals, total, frame
+        release()
         return pd.DataFrame(answers, columns=["kind", "part", "block", "mark", "at", "total", "tokens", "types"])
 
     lists = placed.mapInPandas(listed, "kind int, part int, block long, mark long, keys binary, counts binary")

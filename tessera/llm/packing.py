@@ -14,6 +14,7 @@ import json
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -30,6 +31,7 @@ SALTS = 64
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+@lru_cache(maxsize=2)
 def encoder(path: str):  # noqa: ANN201
     """Text to ids under the byte-level BPE file at ``path``, the same ids as the tokenizers library gives
     without special tokens. The file's vocabulary lists merges in order of rank, which is all that the faster

@@ -27,12 +27,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NO_ID, chunks, materialize, real_ids, small_batches, whole_ids
+from tessera.llm.common import NO_ID, chunks, materialize, real_ids, release, small_batches, whole_ids
 
 LEAST, GRAM = 100, 40
 SIDE, WINDOW = LEAST - GRAM, LEAST - GRAM + 1
 #: Rows of documents for each range of anchor hashes; contexts for each index; bytes gathered before entries go out.
-RANGE_ROWS, INDEX_CONTEXTS, GATHER = 3000, 4000, 8_000_000
+RANGE_ROWS, INDEX_CONTEXTS, GATHER = 3000, 2000, 4_000_000
 #: Ids that are broadcast at most, 16 MB; more are joined by shuffle.
 FEW_IDS = 2_000_000
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -93,7 +93,10 @@ def anchors(data: np.ndarray, pair: tuple[Roller, Roller]) -> tuple[np.ndarray,
     start, end = np.maximum(place - SIDE, 0), np.minimum(place + GRAM + SIDE, len(data))
     around = second.between(second.sums(data), start, end)
     around ^= ((place - start) * 1024 + (end - start)).astype(np.uint64) * MIX
-    return place, h[place], around >> AROUND
+    # least hashes crowd at the low end: spread them again, one to one, so that ranges of them are even
+    spread = h[place] * np.uint64(BASES[1])
+    spread ^= spread >> np.uint64(32)
+    return place, spread * MIX, around >> AROUND
 
 
 #: Bits of a context's hash that are kept: it only tells apart contexts of one anchor hash.
@@ -108,22 +111,37 @@ def _numbers(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
 
+def _copy_spans(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, start, end) that copied contexts cover. Copies in a row, as in a text that repeats itself, are one
+    span. An end may lie beyond the text's, where the text is cut."""
+    order = np.lexsort((place, doc))
+    doc, place = doc[order], place[order]
+    opens = np.ones(len(doc), bool)
+    opens[1:] = (doc[1:] != doc[:-1]) | (place[1:] - place[:-1] > GRAM + 2 * SIDE)
+    at = np.flatnonzero(opens)
+    last = np.append(at[1:], len(doc))[: len(at)] - 1
+    return doc[at], np.maximum(place[at] - SIDE, 0), place[last] + GRAM + SIDE
+
+
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
     """Suffixes in order, by prefix doubling; ``symbols`` must make all suffixes differ."""
-    rank = symbols.astype(np.int64)
-    step, n = 1, len(rank)
+    key = symbols.astype(np.int64)
+    step, n = 1, len(key)
+    width = int(key.max()) + 2
+    key *= width
+    key[: n - 1] += symbols[1:] + 1
     while True:
-        shifted = np.zeros(n, np.int64)
-        shifted[: n - step] = rank[step:] + 1
-        key = rank * (int(shifted.max()) + 1) + shifted
-        order = np.argsort(key)
+        step *= 2
+        order = np.argsort(key).astype(np.int32)
         key = key[order]
-        new = np.zeros(n, np.int64)
-        new[1:] = np.cumsum(key[1:] != key[:-1])
-        rank[order] = new
+        new = np.zeros(n, np.int32)
+        np.cumsum(key[1:] != key[:-1], out=new[1:], dtype=np.int32)
         if new[-1] == n - 1:
             return order
-        step *= 2
+        rank = np.empty(n, np.int32)
+        rank[order] = new
+        key = rank.astype(np.int64) * (n + 1)
+        key[: n - step] += rank[step:] + 1
 
 
 class RunIndex:
@@ -131,10 +149,10 @@ class RunIndex:
 
     def __init__(self, contexts: list[bytes], longest: int):
         self.starts = np.cumsum([0, *(len(c) + 1 for c in contexts)])
-        text = np.zeros(int(self.starts[-1]), np.int64)
+        text = np.zeros(int(self.starts[-1]), np.int32)
         for i, c in enumerate(contexts):
             a = self.starts[i]
-            text[a : a + len(c)] = np.frombuffer(c, np.uint8).astype(np.int64) + len(contexts)
+            text[a : a + len(c)] = np.frombuffer(c, np.uint8).astype(np.int32) + len(contexts)
             text[a + len(c)] = i
         order = suffix_array(text)
         transform = text[order - 1]
@@ -150,7 +168,7 @@ class RunIndex:
     @staticmethod
     def _common(text: np.ndarray, x: np.ndarray, y: np.ndarray, longest: int) -> np.ndarray:
         """Length that suffixes share, ``longest`` at most: one symbol at a time, for those still equal."""
-        out, open_ = np.zeros(len(x), np.int64), np.arange(len(x))
+        out, open_ = np.zeros(len(x), np.int32), np.arange(len(x))
         for length in range(longest):
             a, b = x[open_] + length, y[open_] + length
             inside = (a < len(text)) & (b < len(text))
@@ -162,11 +180,10 @@ class RunIndex:
 
     def statistics(self) -> tuple[np.ndarray, np.ndarray]:
         """(length, place) of a match of each position of the text, streamed from the samples."""
-        position = np.arange(self.size)
-        sample = np.searchsorted(self.place, position, side="right") - 1
-        known = sample >= 0
+        position = np.arange(self.size, dtype=np.int32)
+        sample = (np.searchsorted(self.place, position, side="right") - 1).astype(np.int32)
         behind = position - self.place[sample]
-        length = np.where(known, np.maximum(self.shared[sample] - behind, 0), 0)
+        length = np.where(sample >= 0, np.maximum(self.shared[sample] - behind, 0), 0).astype(np.int32)
         return length, np.where(length > 0, self.above[sample] + behind, position)
 
 
@@ -174,11 +191,12 @@ def long_matches(doc: np.ndarray, start: np.ndarray, contexts: list[bytes], leas
     """(doc, from, to) of what ``least``-byte strings that start earlier cover in contexts at given places."""
     index = RunIndex(contexts, max(map(len, contexts)) + 1)
     length, above = index.statistics()
-    lead = np.where(length >= least, above, np.arange(index.size))
+    lead = np.where(length >= least, above, np.arange(index.size, dtype=np.int32))
+    del length, above
     while not np.array_equal(further := lead[lead], lead):
         lead = further
     ids, nth = np.unique(doc, return_inverse=True)
-    which = np.repeat(np.arange(len(contexts)), np.diff(index.starts))
+    which = np.repeat(np.arange(len(contexts), dtype=np.int32), np.diff(index.starts))
     place = start[which] + np.arange(index.size) - index.starts[:-1][which]
     key = (nth[which].astype(np.int64) << 40) | place
     earliest = np.full(index.size, np.iinfo(np.int64).max)
@@ -190,6 +208,10 @@ def long_matches(doc: np.ndarray, start: np.ndarray, contexts: list[bytes], leas
     return [(int(ids[nth[which[a]]]), int(place[a]), int(place[b]) + least) for a, b in zip(first, last, strict=True)]
 
 
+def _spans_frame(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"hash": np.full(len(doc), -1), "doc": doc, "start": start, "end": end})
+
+
 def marks(docs: DataFrame) -> DataFrame:
     """(doc, start, end): spans to remove, which may overlap, from rows (doc, text)."""
     n_rows = docs.count()
@@ -203,8 +225,12 @@ def marks(docs: DataFrame) -> DataFrame:
             doc, place, h, around = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.lexsort((place, doc, around, h))
             doc, place, h, around = doc[order], place[order], h[order], around[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (around[1:] != around[:-1])
+            settled_here = _copy_spans(doc[~new], place[~new])
+            doc, place, h, around = doc[new], place[new], h[new], around[new]
             edges = [0, *np.searchsorted(h, cuts_at).tolist(), len(h)]
-            rows = []
+            rows = [(int(settled_here[0][0] % ranges), b"", b"", *(_planes(x.view(np.uint64)) for x in settled_here))] if len(settled_here[0]) else []
             for part, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
                 if b > a:
                     ids, nth = np.unique(doc[a:b], return_inverse=True)
@@ -226,6 +252,11 @@ def marks(docs: DataFrame) -> DataFrame:
             yield emit()
 
     def gathered(frame: pd.DataFrame) -> pd.DataFrame:
+        done = frame["hash"].str.len() == 0
+        out = [_spans_frame(*(_numbers(x).view(np.int64) for x in row)) for row in frame.loc[done, ["ids", "nth", "place"]].itertuples(index=False)]
+        frame = frame[~done]
+        if not len(frame):
+            return pd.concat(out)
         h = np.concatenate([np.cumsum(_numbers(x), dtype=np.uint64) for x in frame["hash"]])
         around = np.concatenate([_numbers(x) for x in frame["around"]])
         doc = np.concatenate([_numbers(i).view(np.int64)[_numbers(n).astype(np.int64)] for i, n in zip(frame["ids"], frame["nth"], strict=True)])
@@ -238,17 +269,18 @@ def marks(docs: DataFrame) -> DataFrame:
         later = (doc != doc[first]) | (place != place[first])
         group = np.cumsum(new_hash) - 1
         several = np.bincount(group, weights=new)[group] > 1
-        send = (new & several) | later
-        shown = np.where(later[send], np.int64(0), (h[send] >> np.uint64(1)).astype(np.int64))
-        return pd.DataFrame({"hash": shown, "doc": doc[send], "place": place[send], "copy": later[send]})
+        firsts = pd.DataFrame({"hash": (h[new & several] >> np.uint64(1)).astype(np.int64), "doc": doc[new & several], "start": place[new & several], "end": -1})
+        out += [firsts, _spans_frame(*_copy_spans(doc[later], place[later]))]
+        del h, around, doc, place, order, first, group, frame
+        release()
+        return pd.concat(out)
 
     parts = docs.mapInPandas(found, "part int, hash binary, around binary, ids binary, nth binary, place binary")
-    seen = materialize(parts.groupBy("part").applyInPandas(gathered, "hash long, doc long, place long, copy boolean"), "anchors")
-    # the end of a copied context may lie beyond the text's end, where the text is cut; so may not its start
-    copies = seen.where("copy").select("doc", F.greatest(F.col("place") - SIDE, F.lit(0)).alias("start"), (F.col("place") + GRAM + SIDE).alias("end"))
+    seen = materialize(parts.groupBy("part").applyInPandas(gathered, "hash long, doc long, start long, end long"), "anchors")
+    copies = seen.where("end >= 0").select("doc", "start", "end")
 
-    wants = seen.where("NOT copy").groupBy("doc").agg(F.collect_list(F.struct("place", "hash")).alias("wants"))
-    n_contexts, n_ids = seen.where("NOT copy").count(), wants.count()
+    wants = seen.where("end < 0").groupBy("doc").agg(F.collect_list(F.struct(F.col("start").alias("place"), "hash")).alias("wants"))
+    n_contexts, n_ids = seen.where("end < 0").count(), wants.count()
     buckets = max(1, -(-n_contexts // INDEX_CONTEXTS))
     if n_ids <= FEW_IDS:
         docs = docs.join(F.broadcast(wants.select("doc")), "doc", "left_semi")
@@ -265,8 +297,17 @@ def marks(docs: DataFrame) -> DataFrame:
 
     def indexed(frame: pd.DataFrame) -> pd.DataFrame:
         rows, frame = settled(frame.drop_duplicates(["hash", "doc", "start", "left"]))
-        if len(frame):
-            rows += long_matches(frame["doc"].to_numpy(), frame["start"].to_numpy(), list(frame["context"]))
+        frame = frame.sort_values(["hash", "doc", "start"], kind="stable")
+        # anchors apart: an index takes whole anchors, as many as make up its size
+        ends = np.flatnonzero(np.diff(frame["hash"].to_numpy(), append=np.int64(-1))) + 1
+        first = 0
+        for end in ends.tolist():
+            if end - first >= INDEX_CONTEXTS or end == len(frame):
+                part = frame.iloc[first:end]
+                rows += long_matches(part["doc"].to_numpy(), part["start"].to_numpy(), list(part["context"]))
+                first = end
+        del frame
+        release()
         return pd.DataFrame(rows, columns=["doc", "start", "end"], dtype="int64")
 
     contexts = docs.join(wants, "doc").mapInPandas(cut, "bucket long, hash long, doc long, start long, left long, context binary")
@@ -311,12 +352,12 @@ def _named(docs: DataFrame) -> DataFrame:
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` with a column ``SPANS`` of (start, end) to remove, null if there are none. Texts without spans are
+    """``docs`` with a column ``SPANS`` of spans to remove, as start * 2**31 + end, null if there are none. Texts without spans are
     not shuffled, if the ids of the others are few enough to broadcast."""
     small_batches(docs)
     named = _named(docs)
     found = marks(named.select(F.col(KEY).alias("doc"), "text"))
-    spans = found.groupBy(F.col("doc").alias(KEY)).agg(F.collect_list(F.struct("start", "end")).alias(SPANS))
+    spans = found.groupBy(F.col("doc").alias(KEY)).agg(F.collect_list(F.col("start") * F.lit(1 << 31) + F.col("end")).alias(SPANS))
     spans = materialize(spans, "spans")
     if spans.count() > FEW_IDS:
         return named.join(spans, KEY, "left").drop(KEY)
@@ -331,13 +372,10 @@ def kept_bytes(text: str | None, spans) -> tuple[int, int, int, bytes]:  # noqa:
     data = text.encode("utf-8", "surrogatepass") if text else b""
     if spans is None or not len(spans):
         return len(data), 0, 0, data
-    pairs = sorted((s["start"], min(s["end"], len(data))) for s in spans)
-    merged: list[list[int]] = []
-    for a, b in pairs:
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], b)
-        else:
-            merged.append([a, b])
+    held = np.sort(np.asarray(spans, np.int64))
+    starts, ends = held >> 31, np.minimum(np.maximum.accumulate(held & ((1 << 31) - 1)), len(data))
+    opens = np.concatenate([[True], starts[1:] > ends[:-1]])
+    merged = list(zip(starts[opens].tolist(), ends[np.append(np.flatnonzero(opens)[1:], len(ends)) - 1].tolist(), strict=True))
     left, at = [], 0
     for a, b in merged:
         left.append(data[at:a])
