@@ -212,7 +212,9 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
 
 
 def keep_first(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One row of each component, that with its smallest id; all columns of ``docs``."""
+    """Of each component the document with its smallest id; all columns of ``docs``. Texts without words, null
+    texts and null ids are linked with nothing and stay; rows that share an id are one document and stay together;
+    an empty table gives no rows."""
     found = join(docs, width, percent)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -76,7 +76,9 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def take(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """The rows that the mix takes, with the columns of ``docs``; a row of two copies comes twice."""
+    """The rows that the mix takes, with the columns of ``docs``; a row of two copies comes twice. Null and empty
+    texts have size 0 and copies like any row of their source, but none in a source without words; equal rows
+    count each; an empty table gives no rows."""
     numbered = steady(docs, "mixing").withColumn(ROW, F.monotonically_increasing_id())
     chosen = mix(numbered, seed).where("copies > 0").select(F.col(ROW).alias("_at"), F.col("doc_id").alias("_id"), "copies")
     same = (F.col(f"n.{ROW}") == F.col("c._at")) & F.col("n.doc_id").eqNullSafe(F.col("c._id"))

@@ -26,5 +26,6 @@ def score_quality(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_quality(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that the model doesn't reject. The decision is taken
-    in place: texts are not shuffled."""
+    in place: texts are not shuffled. Null and empty texts are judged by the bias alone, which keeps them where
+    most labelled rows are good; equal rows share a verdict; an empty table gives no rows."""
     return verdicts(docs, model, THRESHOLD)

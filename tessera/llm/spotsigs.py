@@ -112,7 +112,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def near_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(a, b, likeness) of near fingerprints, and membership: returns pairs between classes of equal fingerprints,
     named by their smallest doc_id, with the classes' sizes ``n_a`` and ``n_b``. Sets meet in partitions of
-    neighbouring lengths, under a signature of their prefix; every set in a pair is then compared in full."""
+    neighbouring lengths, under a signature of their prefix; every set in a pair is then compared in full. Null
+    texts count as empty, and empty texts are one class; classes whose ids are all null are left out; an empty
+    table gives no pairs."""
     signed = docs.select("doc_id", signatures(F.coalesce("text", F.lit(""))).alias("signs"))
     classes = signed.groupBy("signs").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
     n = F.size("signs")

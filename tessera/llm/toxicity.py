@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.llm.ftrl import Features, Model, TrainConfig, score, train
 
 FEATURES = Features(bits=20, skips=(1, 2), shapes=False, fold=True)
-CONFIG = TrainConfig(max_rows=20_000, epochs=8, alpha=1.0, l1=4.0, l2=0.0)
+CONFIG = TrainConfig(max_rows=20_000, epochs=8, alpha=2.0, l1=4.0, l2=0.0)
 THRESHOLD = 0.7
 
 
