@@ -138,3 +138,15 @@ def _pictures(t: Tables) -> DataFrame:
 @query("i12_image_stats")
 def i12(t: Tables) -> DataFrame:
     return _pictures(t).select("vec_id", images.image_stats(F.col("image")).alias("s")).select("vec_id", "s.*")
+
+
+@query("s4_image_prep")
+def s4(t: Tables) -> DataFrame:
+    return _pictures(t).select("vec_id", images.prepared_size(F.col("image"), 6).alias("s")).select("vec_id", "s.*")
+
+
+@query("i7_perspective_warp")
+def i7(t: Tables) -> DataFrame:
+    point = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
+    corners = F.array(point(1.0, 0.0), point(6.0, 1.0), point(6.0, 5.0), point(1.0, 4.0))
+    return _pictures(t).select("vec_id", images.warped_stats(F.col("image"), corners, F.lit(6), F.lit(4)).alias("s")).select("vec_id", "s.*")
