@@ -170,7 +170,8 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
 
     full = rows.where("n > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    firsts = full.join(classes, ["k1", "k2"]).where("doc_id = rep").dropDuplicates(["rep", "k1", "k2"])
+    # rows of a class are equal: any of them will do, so a class of very many is summed up where it is read
+    firsts = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("columns").alias("columns"))
     entries = firsts.select("rep", "n", F.posexplode("columns").alias("at", "column"))
     by_size = Window.partitionBy("column").orderBy("n", "rep")
     near = entries.select(
