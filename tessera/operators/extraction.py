@@ -120,7 +120,7 @@ def numbered_field(text: Column) -> Column:
     """struct(field, value) of a line that starts with a field number, its dot optional; a number that ran into
     the date behind it is parted from it."""
     glued = text.rlike(r"^3\d{2}\.\d{2}\.\d{2,4}$")
-    pattern = r"^(\d[a-c]?)\.?\s+(.*)"
+    pattern = r"(?U)^(\d[a-c]?)\.?\s+(.*)"
     field = F.when(glued, "3").otherwise(F.regexp_extract(text, pattern, 1))
     value = F.when(glued, F.substring(text, 2, 20)).otherwise(F.regexp_extract(text, pattern, 2))
     return F.struct(field.alias("field"), value.alias("value"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import ascii_only
 from tessera.operators import evaluation
 from tessera.operators.learning import balanced_weight
 from tessera.plans.registry import query
@@ -21,7 +20,7 @@ def guess(t: Tables) -> DataFrame:
 
 
 def classes(t: Tables) -> DataFrame:
-    lang, says = F.col("lang"), lambda w: ascii_only(F.col("text")).rlike(rf"(?i)\b{w}\b")
+    lang, says = F.col("lang"), lambda w: t.seen(F.col("text")).rlike(rf"(?iU)\b{w}\b")
     y = F.when(lang == "en", 0).when(lang == "de", 1).when(lang == "fr", 2).otherwise(3)
     yhat = F.when(says("the"), 0).when(says("und"), 1).when(says("qui"), 2).when(says("por"), 3).otherwise(4)
     return t.documents.select(y.alias("y"), yhat.alias("yhat"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions.text import strip
 from tessera.operators import extraction
 from tessera.plans.registry import query
 from tessera.plans.strings import LINES, NUMBERED, STRIP, lines, numbered
@@ -101,7 +102,7 @@ def x10(t: Tables) -> DataFrame:
 @query("x11_numbered_fields", f"""WITH {LINES}, x AS (SELECT doc_id, seg_idx, trim({STRIP.format(NUMBERED)}) AS x FROM l)
 SELECT doc_id, seg_idx, regexp_extract(x, '^(\\d[a-c]?)\\.?\\s+', 1) AS field FROM x""")
 def x11(t: Tables) -> DataFrame:
-    return lines(t).select("doc_id", "seg_idx", extraction.numbered_field(F.trim(numbered()))["field"].alias("field"))
+    return lines(t).select("doc_id", "seg_idx", extraction.numbered_field(strip(numbered()))["field"].alias("field"))
 
 
 @query("x11_license", "SELECT o_orderkey AS doc, 'Anne ' || o_orderpriority AS pred_name, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '' END AS pred_dob FROM orders")

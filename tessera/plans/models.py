@@ -8,7 +8,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import alpha_ratio, ascii_only, digit_ratio, rule_field, word_count
+from tessera.functions.text import alpha_ratio, digit_ratio, rule_field, word_count
 from tessera.operators import images, learning
 from tessera.operators.evaluation import class_report, macro_f1
 from tessera.plans.registry import query
@@ -46,10 +46,13 @@ def l4(t: Tables) -> DataFrame:
     return guessed.select("doc_id", F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("yhat"))
 
 
+def char_gram_tokens(t: Tables) -> DataFrame:
+    return _labelled(t).withColumn("tokens", learning.char_grams(F.col("text")))
+
+
 @query("l5_char_tfidf")
 def l5(t: Tables) -> DataFrame:
-    grams = _labelled(t).withColumn("tokens", learning.char_grams(ascii_only(F.col("text"))))
-    held = learning.tfidf(grams, "tokens", 500)
+    held = learning.tfidf(char_gram_tokens(t), "tokens", 500)
     train = learning.balanced_weight(held.where("fold <> 0"), "label")
     return macro_f1(learning.logistic("label").fit(train).transform(held.where("fold = 0")).select(F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("yhat")))
 

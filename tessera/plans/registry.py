@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.sources.tables import Tables
 
 Query = Callable[[Tables], DataFrame]
+#: What the SQL of a query over stripped texts holds.
+STRIPS = "'[^\\x00-\\x7F]', '', 'g'"
 REGISTERED: dict[str, tuple[Query, str | None]] = {}
 
 
@@ -22,5 +24,5 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def callable_of(body: Query) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: body(Tables(spark, sf_dir))
+def callable_of(body: Query, whole: bool = False) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: body(Tables(spark, sf_dir, whole))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.text import ascii_only, flag, null_literals
+from tessera.functions.text import flag, null_literals
 from tessera.plans.registry import query
 from tessera.sources import tables as io
 from tessera.sources.tables import Tables
@@ -226,8 +226,8 @@ SELECT doc_id, arg_min(country, ord) AS country FROM
   (SELECT doc_id, upper(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) AS u FROM documents) JOIN a ON regexp_matches(u, '\\b' || alias || '\\b') GROUP BY doc_id""")
 def j10(t: Tables) -> DataFrame:
     rules = [("en", "THE"), ("de", "UND"), ("fr", "EST"), ("es", "POR")]
-    u = F.upper(ascii_only(F.col("text")))
-    found = F.coalesce(*[F.when(u.rlike(rf"\b{alias}\b"), F.lit(country)) for country, alias in rules])
+    u = F.upper(t.seen(F.col("text")))
+    found = F.coalesce(*[F.when(u.rlike(rf"(?U)\b{alias}\b"), F.lit(country)) for country, alias in rules])
     return t.documents.select("doc_id", found.alias("country")).where("country IS NOT NULL")
 
 

@@ -1,6 +1,7 @@
 """Text, distance and date functions over lines, turns and rendered dates.
 
-The checking SQL counts bytes where the engine counts characters, so these queries strip what isn't ASCII first.
+The checking SQL counts bytes where the engine counts characters, so it strips what isn't ASCII first, and so do the
+queries that it checks. Each has a twin, ``<name>_whole``, that runs the same plan over whole texts.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ def sql_words(x: str) -> str:
 
 
 def lines(t: Tables) -> DataFrame:
-    """(doc_id, seg_idx, text): the lines of each document, ASCII only."""
-    parts = F.split(text.ascii_only(F.col("text")), "\n")
+    """(doc_id, seg_idx, text): the lines of each document."""
+    parts = F.split(t.seen(F.col("text")), "\n")
     return t.documents.select("doc_id", F.posexplode(parts).alias("seg_idx", "text"))
 
 
@@ -32,9 +33,9 @@ LINES = f"""l AS (SELECT doc_id, unnest(range(len(s)))::INT AS seg_idx, unnest(s
 
 
 def turns(t: Tables) -> DataFrame:
-    """(conv_id, turn, role, hyp, ref): each turn and the next one of its conversation, ASCII only."""
+    """(conv_id, turn, role, hyp, ref): each turn and the next one of its conversation."""
     order = Window.partitionBy("conv_id").orderBy("turn")
-    own = t.conversations.select("conv_id", "turn", "role", text.ascii_only(F.col("text")).alias("hyp"))
+    own = t.conversations.select("conv_id", "turn", "role", t.seen(F.col("text")).alias("hyp"))
     return own.withColumn("ref", F.lead("hyp").over(order)).where("ref IS NOT NULL")
 
 

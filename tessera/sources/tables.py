@@ -9,19 +9,24 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import strip
+from tessera.functions.text import ascii_only, strip
 
 
 @dataclass(frozen=True)
 class Tables:
-    """The Parquet tables of a folder, as attributes."""
+    """The Parquet tables of a folder, as attributes. ``whole`` is False where SQL that strips texts checks a query."""
 
     spark: SparkSession
     folder: str
+    whole: bool = False
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def seen(self, text: Column) -> Column:
+        """The text as queries see it: whole, or its ASCII characters alone, as the checking SQL has it."""
+        return text if self.whole else ascii_only(text)
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share; a temporary one only where none is set."""
