@@ -11,6 +11,7 @@ documents; ranks are given to the documents, and runs joined to them, in distrib
 from __future__ import annotations
 
 import json
+import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,13 +30,17 @@ CAPACITY, END = 2048, 0
 SALTS = 64
 # Fixed value: the pattern by which byte-level BPE cuts a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# The blanks of that pattern, and the longest run of them left to it: its library gives up at 10^6.
+BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+LONGEST_RUN = 500_000
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str):  # noqa: ANN201
     """Text to ids under the byte-level BPE file at ``path``, the same ids as the tokenizers library gives
     without special tokens. The file's vocabulary lists merges in order of rank, which is all that the faster
-    library needs."""
+    library needs. Very long runs of blanks are cut out as the pattern would: before their last blank, or at the
+    end of the text, and merged as one piece."""
     import tiktoken
 
     with open(path, encoding="utf-8") as file:
@@ -44,7 +49,21 @@ def encoder(path: str):  # noqa: ANN201
     stands = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
     special = {"<|endoftext|>"}
     ranks = {bytes(stands[c] for c in word): i for word, i in vocabulary.items() if word not in special}
-    return tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    bpe = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(text: str) -> list[int]:
+        if len(text) <= LONGEST_RUN:
+            return bpe.encode_ordinary(text)
+        ids, at = [], 0
+        for run in BLANKS.finditer(text):
+            if run.end() - run.start() > LONGEST_RUN:
+                end = run.end() - (run.end() < len(text))
+                ids += bpe.encode_ordinary(text[at : run.start()])
+                ids += bpe._encode_single_piece(text[run.start() : end])
+                at = end
+        return ids + bpe.encode_ordinary(text[at:])
+
+    return encode
 
 
 def default_path() -> str:

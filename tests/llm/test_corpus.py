@@ -457,6 +457,15 @@ def test_ids_are_those_of_the_tokenizer(text):
     assert packing.encoder(public.path("byte_bpe_50k.json"))(text) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["a b" + " " * 2_000_000 + "c d", "\n" * 2_000_000, "x" + "\n" * 1_000_001 + " " * 600_000 + "\u3000y z " + "\t" * 1_200_000, "a" * 2_000_000])
+def test_ids_of_very_long_runs(text):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path("byte_bpe_50k.json")
+    assert packing.encoder(path)(text) == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
 def test_supersteps_are_best_fit():
     rng = np.random.default_rng(10)
     for _ in range(20):
