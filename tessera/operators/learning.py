@@ -95,6 +95,16 @@ def assembled(df: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features").transform(df.na.fill(0, columns))
 
 
+def held_out(df: DataFrame, label: str, make: Callable[[str], object], folds: list[int]) -> DataFrame:
+    """The rows of all ``folds``, each with the prediction of a model fitted on the other folds; the frame is read once."""
+    held = df.cache()
+    parts = []
+    for k in folds:
+        train = balanced_weight(held.where(F.col("fold") != k), label)
+        parts.append(make(label).fit(train).transform(held.where(F.col("fold") == k)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def out_of_fold(df: DataFrame, label: str, models: dict[str, Callable[[str], object]], folds: list[int]) -> DataFrame:
     """(fold, model, macro_f1, weighted_f1), each model fitted on the other folds; the frame is read once."""
     held = df.cache()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -38,23 +41,33 @@ def _labelled(t: Tables) -> DataFrame:
     return t.documents.join(t.labels, "doc_id").select("doc_id", "text", F.col("quality").cast("double").alias("label"), (F.col("doc_id") % 5).alias("fold"))
 
 
+#: The folds of ``_labelled``.
+FOLDS = [0, 1, 2, 3, 4]
+
+
+def _guessed(held: DataFrame, make: Callable[[str], object]) -> DataFrame:
+    """(doc_id, fold, y, yhat) of every row, out of fold."""
+    guessed = learning.held_out(held, "label", make, FOLDS)
+    return guessed.select("doc_id", "fold", F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("yhat"))
+
+
 @query("l4_word_tfidf_logistic")
 def l4(t: Tables) -> DataFrame:
     held = learning.tfidf(learning.word_tokens(_labelled(t), "text"), "tokens", 300)
-    train = learning.balanced_weight(held.where("fold <> 0"), "label")
-    guessed = learning.logistic("label").fit(train).transform(held.where("fold = 0"))
-    return guessed.select("doc_id", F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("yhat"))
+    return _guessed(held, learning.logistic).select("doc_id", "y", "yhat")
 
 
 def char_gram_tokens(t: Tables) -> DataFrame:
     return _labelled(t).withColumn("tokens", learning.char_grams(F.col("text")))
 
 
+def _char_guessed(t: Tables) -> DataFrame:
+    return _guessed(learning.tfidf(char_gram_tokens(t), "tokens", 500), learning.logistic)
+
+
 @query("l5_char_tfidf")
 def l5(t: Tables) -> DataFrame:
-    held = learning.tfidf(char_gram_tokens(t), "tokens", 500)
-    train = learning.balanced_weight(held.where("fold <> 0"), "label")
-    return macro_f1(learning.logistic("label").fit(train).transform(held.where("fold = 0")).select(F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("yhat")))
+    return macro_f1(_char_guessed(t).select("y", "yhat"))
 
 
 FEATURES = ["n_chars", "n_words", "n_lines", "alpha", "digits"]
@@ -68,31 +81,34 @@ def _featured(t: Tables) -> DataFrame:
 
 @query("l6_boosting")
 def l6(t: Tables) -> DataFrame:
-    held = _featured(t)
-    model = learning.boosted("label", rounds=10, depth=3).fit(held.where("fold <> 0"))
-    return model.transform(held.where("fold = 0")).select("doc_id", F.col("prediction").cast("int").alias("yhat"))
+    return _guessed(_featured(t), lambda label: learning.boosted(label, rounds=10, depth=3)).select("doc_id", "yhat")
 
 
 @query("l7_forest")
 def l7(t: Tables) -> DataFrame:
-    held = _featured(t)
-    model = learning.forest("label", trees=20).fit(learning.balanced_weight(held.where("fold <> 0"), "label"))
-    return model.transform(held.where("fold = 0")).select("doc_id", F.col("prediction").cast("int").alias("yhat"))
+    return _guessed(_featured(t), lambda label: learning.forest(label, trees=20)).select("doc_id", "yhat")
 
 
 @query("l10_model_comparison")
 def l10(t: Tables) -> DataFrame:
     models = {"forest": lambda label: learning.forest(label, trees=20), "logistic": learning.logistic}
-    return learning.out_of_fold(_featured(t), "label", models, [0, 1, 2])
+    return learning.out_of_fold(_featured(t), "label", models, FOLDS)
 
 
 @query("l12_paradigms")
 def l12(t: Tables) -> DataFrame:
-    text = l5(t).select(F.lit("char_tfidf").alias("approach"), "macro_f1")
-    spatial = learning.out_of_fold(_featured(t), "label", {"forest": lambda label: learning.forest(label, trees=20)}, [0]).select(F.lit("features").alias("approach"), "macro_f1")
+    """(fold, approach, macro_f1): every approach is scored on the same rows, fold by fold."""
     ruled = (rule_field(F.col("text")) != "other").cast("int")
-    rules = _labelled(t).select(F.col("label").cast("int").alias("y"), ruled.alias("yhat"))
-    return text.unionByName(spatial).unionByName(macro_f1(rules).select(F.lit("rules").alias("approach"), "macro_f1"))
+    approaches = {
+        "char_tfidf": _char_guessed(t),
+        "features": _guessed(_featured(t), lambda label: learning.forest(label, trees=20)),
+        "rules": _labelled(t).select("fold", F.col("label").cast("int").alias("y"), ruled.alias("yhat")),
+    }
+    rows = [
+        macro_f1(guessed.where(F.col("fold") == k).select("y", "yhat")).select(F.lit(k).alias("fold"), F.lit(name).alias("approach"), "macro_f1")
+        for name, guessed in approaches.items() for k in FOLDS
+    ]
+    return reduce(DataFrame.unionByName, rows)
 
 
 @query("l13_ablation")
@@ -101,22 +117,24 @@ def l13(t: Tables) -> DataFrame:
     out = None
     for name, dropped in {"baseline": set(), "no_sizes": {"n_chars", "n_words", "n_lines"}, "no_ratios": {"alpha", "digits"}}.items():
         kept = learning.assembled(held, [f for f in FEATURES if f not in dropped])
-        rows = learning.out_of_fold(kept, "label", {name: learning.logistic}, [0, 1])
+        rows = learning.out_of_fold(kept, "label", {name: learning.logistic}, FOLDS)
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
 @query("l14_origin_report")
 def l14(t: Tables) -> DataFrame:
-    guessed = t.documents.join(l4(t).select("doc_id", "y", "yhat"), "doc_id", "left")
-    return class_report(guessed.where("y IS NOT NULL").select("y", F.coalesce("yhat", F.lit(1)).alias("yhat")))
+    """Every labelled document counts; one without a prediction as class 1."""
+    truth = t.labels.select("doc_id", F.col("quality").alias("y"))
+    guessed = truth.join(l4(t).select("doc_id", "yhat"), "doc_id", "left")
+    return class_report(guessed.select("y", F.coalesce("yhat", F.lit(1)).alias("yhat")))
 
 
 @query("l15_triage_forest")
 def l15(t: Tables) -> DataFrame:
     held = _featured(t).withColumn("label", (F.col("n_chars") > 500).cast("double"))
-    model = learning.forest("label", trees=100, depth=5).fit(learning.balanced_weight(held.where("fold <> 0"), "label"))
-    return model.transform(held.where("fold = 0")).select("doc_id", F.col("prediction").cast("int").alias("readable"))
+    guessed = _guessed(held, lambda label: learning.forest(label, trees=100, depth=5))
+    return guessed.select("doc_id", F.col("yhat").alias("readable"))
 
 
 @query("l16_tuning")
