@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm import jaccard, mixing, packing, substrings
 from tessera.llm.common import materialize, table
@@ -29,8 +28,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 100 bytes or more that also start earlier are cut; a document that this leaves without any
-    word goes."""
-    return substrings.dedup(docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    word goes. Documents that lost nothing stay, blank or not."""
+    return substrings.dedup(docs, keep_emptied=False)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

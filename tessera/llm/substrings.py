@@ -401,16 +401,20 @@ def digests(docs: DataFrame) -> DataFrame:
     return real_ids(whole_ids(spanned).mapInPandas(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, keep_emptied: bool = True) -> DataFrame:
     """``docs`` with the repeated strings cut from ``text`` (a character that loses a byte goes too) and
-    ``n_chars``, if there is such a column, counted anew. Rows stay, even if nothing of their text does."""
+    ``n_chars``, if there is such a column, counted anew. Rows stay, even if nothing of their text does, unless not
+    ``keep_emptied``: then rows go that lost bytes and are left without any word."""
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if s is None or not len(s) else kept_bytes(t, s)[3].decode("utf-8", "ignore") for t, s in zip(text, spans, strict=True)], dtype=object)
 
     out = with_spans(docs)
-    out = out.withColumn("text", F.when(F.col(SPANS).isNull(), F.col("text")).otherwise(cut(F.col("text"), F.col(SPANS))))
+    left = F.when(F.col(SPANS).isNull(), F.col("text")).otherwise(cut(F.col("text"), F.col(SPANS)))
+    if not keep_emptied:
+        out = out.where(left.eqNullSafe(F.col("text")) | left.rlike(r"[^\x20\x09-\x0D]"))
+    out = out.withColumn("text", left)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -561,6 +561,14 @@ def test_pipeline_stage_by_stage(spark, docs):
     assert packed.groupby("sequence_id").length.sum().max() <= 2048
 
 
+def test_repeated_strings_keeps_blank_rows(spark):
+    import corpus_pipeline as pipeline
+
+    rows = [(1, SENTENCE), (2, None), (3, ""), (4, " \n"), (5, SENTENCE), (6, "a word"), (7, None)]
+    out = dict(pipeline.STAGES)["repeated_strings"](spark, spark.createDataFrame(rows, "doc_id long, text string"), FOLDER).collect()
+    assert {r.doc_id for r in out} == {1, 2, 3, 4, 6, 7} and {r.doc_id: r.text for r in out if r.doc_id in (2, 3, 4)} == {2: None, 3: "", 4: " \n"}
+
+
 def test_pipeline_runs_whole(spark):
     import corpus_pipeline as pipeline
 
