@@ -158,12 +158,24 @@ def _pictures(t: Tables) -> DataFrame:
 
 @query("i12_image_stats")
 def i12(t: Tables) -> DataFrame:
-    return _pictures(t).select("vec_id", images.image_stats(F.col("image")).alias("s")).select("vec_id", "s.*")
+    w, h = F.col("image.width"), F.col("image.height")
+    size = [w.alias("width"), h.alias("height"), (w / h).alias("aspect_ratio"), (w < h).alias("is_portrait")]
+    return _pictures(t).select("vec_id", *size, images.image_stats(F.col("image")).alias("s")).select("vec_id", "width", "height", "aspect_ratio", "is_portrait", "s.*")
+
+
+def _kinds_of_pictures(t: Tables) -> DataFrame:
+    """(vec_id, image): the strip of each embedding, repeated, as one of six images: gray, BGRA, BGR, two channels, a side
+    under ten pixels, and one longer than 1600."""
+    sizes = [(12, 64, 1), (12, 16, 4), (16, 16, 3), (16, 24, 2), (8, 96, 1), (12, 1664, 1)]
+    data = F.col("image.data")
+    kind = lambda h, w, c: F.struct(F.lit(h).alias("height"), F.lit(w).alias("width"), F.lit(c).alias("nChannels"), F.unhex(F.repeat(F.hex(data), F.lit(h * w * c // 64))).alias("data"))
+    k = F.col("vec_id") % len(sizes)
+    return _pictures(t).select("vec_id", F.coalesce(*[F.when(k == i, kind(*size)) for i, size in enumerate(sizes)]).alias("image"))
 
 
 @query("s4_image_prep")
 def s4(t: Tables) -> DataFrame:
-    return _pictures(t).select("vec_id", images.prepared_size(F.col("image"), 6).alias("s")).select("vec_id", "s.*")
+    return _kinds_of_pictures(t).select("vec_id", images.prepared_size(F.col("image"), 1600).alias("s")).select("vec_id", "s.*")
 
 
 @query("i7_perspective_warp")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import images, labels, learning, segments
+from tessera.plans import catalog
 from tessera.sources import tables as io
 from tessera.streaming.segments import stream_features
 
@@ -126,6 +127,17 @@ def test_pixels():
     assert images.dilate(np.eye(5, dtype=np.uint8), 3).sum() > 5 and images.smooth(flat).std() == pytest.approx(0)
 
 
+def test_prepared_images_pass_the_guards(spark):
+    got = catalog.queries()["s4_image_prep"](spark, FOLDER).collect()
+    want = [(12, 64), (12, 16), (16, 16), (None, None), (None, None), (11, 1600)]
+    assert {r.vec_id % 6 for r in got} == set(range(6)) and all((r.height, r.width) == want[r.vec_id % 6] for r in got)
+
+
+def test_image_stats_have_sizes(spark):
+    got = catalog.queries()["i12_image_stats"](spark, FOLDER).select("width", "height", "aspect_ratio", "is_portrait").distinct().collect()
+    assert [tuple(r) for r in got] == [(8, 8, 1.0, False)]
+
+
 def test_skew_of_turned_bar():
     yy, xx = np.mgrid[0:80, 0:80] - 40
     a = np.radians(20)
