@@ -86,7 +86,7 @@ def l6(t: Tables) -> DataFrame:
 
 @query("l7_forest")
 def l7(t: Tables) -> DataFrame:
-    return _guessed(_featured(t), lambda label: learning.forest(label, trees=20)).select("doc_id", "yhat")
+    return _guessed(_featured(t), learning.forest).select("doc_id", "yhat")
 
 
 @query("l10_model_comparison")

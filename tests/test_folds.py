@@ -2,7 +2,7 @@
 
 import pytest
 
-from tessera.plans import catalog
+from tessera.plans import catalog, models
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -30,3 +30,10 @@ def test_missing_predictions_count_as_one(spark, tmp_path):
     spark.createDataFrame([(i, i % 2 if i < 20 else 0, 0) for i in range(23)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = {r["class"]: r for r in catalog.queries()["l14_origin_report"](spark, str(tmp_path)).collect()}
     assert got[0].support == 13 and got[0].recall == pytest.approx(10 / 13) and got[1].support == 10 and got[1].precision == pytest.approx(10 / 13)
+
+
+def test_forest_is_of_the_reference_size(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(models.learning, "held_out", lambda df, label, make, folds: made.append(make(label)) or df.withColumn("prediction", df.label))
+    catalog.queries()["l7_forest"](spark, FOLDER)
+    assert [(m.getNumTrees(), m.getMaxDepth()) for m in made] == [(200, 10)]
