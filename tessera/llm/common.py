@@ -120,14 +120,9 @@ def small_batches(docs: DataFrame, rows: int = 1000) -> DataFrame:
 
 
 def steady(docs: DataFrame, name: str) -> DataFrame:
-    """``docs``, if its rows come from files alone, as then each scan deals them out alike; else a
-    materialized copy. Needed wherever rows are numbered by partition in two scans. The number of cores, which
-    the size of a scan's partitions depends on, is pinned, as executors may come and go between the scans."""
-    conf = docs.sparkSession.conf
-    if not conf.get("spark.sql.files.minPartitionNum", None):
-        conf.set("spark.sql.files.minPartitionNum", str(docs.sparkSession.sparkContext.defaultParallelism))
+    """``docs``, if its rows come straight from files, and so have a place there; else a materialized copy."""
     plan = docs._jdf.queryExecution().sparkPlan().toString()
-    plain = not any(x in plan for x in ("Exchange", "Join", "Aggregate", "InMemoryTableScan", "Python", "Pandas", "Arrow", "ExistingRDD", "LocalTable", "Window", "Generate", "Limit"))
+    plain = "FileScan" in plan and not any(x in plan for x in ("Exchange", "Join", "Aggregate", "InMemoryTableScan", "Python", "Pandas", "Arrow", "ExistingRDD", "LocalTable", "Window", "Generate", "Limit", "Union", "Filter"))
     return docs if plain else materialize(docs, name)
 
 

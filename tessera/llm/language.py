@@ -1,32 +1,34 @@
 """Language-model scoring by a weighted backoff automaton.
 
-The model is a bigram model over words and an end, interpolated with add-one unigrams: with c(u) the count of
-context u, p(w|u) = (1 - l) c(u, w) / c(u) + l p(w), and l a falling function of c(u) alone, 1 for an unknown
-context. As an automaton: the known contexts are states, a counted bigram is an arc with log p, and every state
-has a failure arc with log l to the root, whose arcs are the unigrams. A text is walked once, from the start
-state; each token leads to the state of its own word, or to the root.
-
-Counts grow with the corpus, so they are neither broadcast nor collected. Each block of documents lists its
-distinct n-grams with its own training counts, sorted by hash; ranges of hashes are added up over all blocks; a
-block is told the totals that differ from its own counts; it then holds the part of the automaton that its
-documents can reach, which scores them exactly. A hot n-gram is one entry per block, not one per occurrence.
+The model is a trigram model over words and an end. With c(h) the count of a history h, p(w|h) is
+(1 - l) c(h, w) / c(h) + l p(w|h less its first word), down to add-one unigrams; l falls with c(h) and is 1 for a
+history that was never seen. As an automaton: the known histories of two words, of one and of none are states; a
+counted n-gram is an arc with its log p, which leads to the longest known history; every state has a failure arc
+with log l to the history less its first word; the root has an arc for every word. A text is walked once, from the
+start state: where the state has no arc for the next word, failure arcs are followed until there is one.
+
+Counts grow with the corpus, so they are neither broadcast nor collected: each block of documents lists its n-grams
+and is told their totals (``counting``). It then holds the part of the automaton that its documents can reach, which
+scores them exactly. Its texts are walked side by side, long ones in stretches that begin a history early.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import xxhash
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, real_ids, release, small_batches, steady, whole_ids
+from tessera.llm import counting
+from tessera.llm.common import real_ids, small_batches, whole_ids
 
-#: Rows of a block; rows for each range of bigram hashes, and how many times fewer the ranges of words are.
-BLOCK_ROWS, RANGE_ROWS, WORD_RANGES = 2000, 2000, 4
+#: Entries of words, bigrams and trigrams in a range of hashes, as a share of a block's.
+SHARES = (4.0, 1.0, 1.0)
+#: For histories of one word and of two: the failure weight after one occurrence, how much it falls with each doubling of that count, and its least value.
+FAILURE = ((0.72, 0.03, 0.1), (0.75, 0.05, 0.3))
+#: Tokens of a text that are walked in one go; a state remembers two.
+WALK, MEMORY = 512, 2
 # A blank can't be in a word.
 START, END = (np.uint64(xxhash.xxh3_64_intdigest(b)) for b in (b" start", b" end"))
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
@@ -42,9 +44,10 @@ class WordHashes(dict):
         return value
 
 
-def backoff(count: np.ndarray) -> np.ndarray:
-    """Weight of the failure arc of a context seen ``count`` times."""
-    return np.where(count > 0, np.clip(0.75 - 0.03 * np.log2(count + 1.0), 0.1, 1.0), 1.0)
+def failure_weight(count: np.ndarray, words: int) -> np.ndarray:
+    """Weight of the failure arc of a history of so many words that was seen ``count`` times."""
+    first, fall, least = FAILURE[words - 1]
+    return np.where(count > 0, np.clip(first - fall * np.log2(np.maximum(count, 1)), least, 1.0), 1.0)
 
 
 def tokens_of(texts: list[str | None], cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
@@ -58,157 +61,136 @@ def tokens_of(texts: list[str | None], cache: WordHashes) -> tuple[np.ndarray, n
     return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
 
 
-def contexts_of(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[np.cumsum(sizes) - sizes] = START
-    return before
-
-
-def pairs_of(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    mixed = (before * ODD[0]) ^ (tokens * ODD[1])
+def joined(history: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Hash of a history with one more token."""
+    mixed = (history * ODD[0]) ^ (token * ODD[1])
     mixed ^= mixed >> np.uint64(31)
     mixed *= ODD[0]
     return mixed ^ (mixed >> np.uint64(29))
 
 
-def to_blob(numbers: np.ndarray) -> bytes:
-    """Rising numbers by their differences, byte planes apart."""
-    steps = np.diff(numbers.astype(np.uint64), prepend=np.uint64(0))
-    return zstandard.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
-
-
-def of_blob(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
-
-
-def plain_blob(numbers: np.ndarray) -> bytes:
-    return zstandard.compress(numbers.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
-
-
-def of_plain(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view(np.uint64).ravel()
-
-
-def edges_of(ranges: int) -> np.ndarray:
-    """First hash of each range but the first."""
-    return np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
-
-
-class Block:
-    """The n-grams of some documents: their distinct words (kind 0, with the start) and bigrams (kind 1)."""
-
-    def __init__(self, texts: list[str | None], cache: WordHashes):
-        self.tokens, self.sizes = tokens_of(texts, cache)
-        before = contexts_of(self.tokens, self.sizes)
-        words, self.at = np.unique(np.concatenate([self.tokens, before]), return_inverse=True)
-        n = len(self.tokens)
-        self.word, self.before = self.at[:n], self.at[n:]
-        pairs, self.pair = np.unique(pairs_of(before, self.tokens), return_inverse=True)
-        self.keys = (words, pairs)
+class NGrams(counting.Items):
+    """The words (the start among them), bigrams and trigrams of a block, and which of them each token ends."""
+
+    def __init__(self, rows: pd.DataFrame, cache: WordHashes):
+        tokens, self.sizes = tokens_of(list(rows["text"]), cache)
+        n = len(tokens)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        opens = np.zeros(n, bool)
+        opens[self.first] = True
+        before = np.empty_like(tokens)
+        before[1:] = tokens[:-1]
+        before[opens] = START
+        words, at = np.unique(np.concatenate([tokens, before]), return_inverse=True)
+        self.word, self.before = at[:n], at[n:]
+        bigrams, self.bigram = np.unique(joined(before, tokens), return_inverse=True)
+        #: Tokens that end a trigram: all but the first of a text, whose history is the start alone.
+        self.third = np.flatnonzero(~opens)
+        trigrams, self.trigram = np.unique(joined(bigrams[self.bigram[self.third - 1]], tokens[self.third]), return_inverse=True)
         self.row = np.repeat(np.arange(len(self.sizes)), self.sizes)
-
-    def own_counts(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Training counts of the block itself; the start counts once for each text."""
+        train = rows["train"].to_numpy(bool)
         taught = train[self.row]
-        words = np.bincount(self.word[taught], minlength=len(self.keys[0]))
-        at = np.searchsorted(self.keys[0], START)
-        words[at] = int(train.sum())
-        return words, np.bincount(self.pair[taught], minlength=len(self.keys[1]))
-
-    def check(self) -> int:
-        return int(np.bitwise_xor.reduce(self.keys[1]) >> np.uint64(2)) + len(self.tokens)
-
-
-def score_block(block: Block, words: np.ndarray, pairs: np.ndarray, total: int, types: int) -> dict[str, np.ndarray]:
-    """Walk every text of a block: arcs where a bigram is counted, else the failure arc and the root's arc."""
-    root = (words + 1.0) / (total + types + 1.0)
-    seen, known = pairs[block.pair], words[block.word]
-    context = words[block.before]
-    failure = backoff(context)
-    arc = (1 - failure) * seen / np.maximum(context, 1) + failure * root[block.word]
-    step = np.where(seen > 0, np.log10(arc), np.log10(failure) + np.log10(root[block.word]))
-    n = len(block.sizes)
-    add = lambda x: np.bincount(block.row, weights=x, minlength=n)
-    return {"n_tokens": block.sizes, "n_known": add(known > 0).astype(np.int64), "base_score": add(np.log10(root[block.word])), "score": add(step)}
+        counts = np.bincount(self.word[taught], minlength=len(words))
+        counts[np.searchsorted(words, START)] = train.sum()  # once for each text
+        super().__init__([words, bigrams, trigrams], [counts, np.bincount(self.bigram[taught], minlength=len(bigrams)), np.bincount(self.trigram[taught[self.third]], minlength=len(trigrams))])
+
+
+class Automaton:
+    """States: 0 is the root, then the block's words, then its bigrams, as histories; those never seen in training
+    are no states, and no arc leads to them."""
+
+    def __init__(self, grams: NGrams, counts: list[np.ndarray], total: int, types: int):
+        words, bigrams, trigrams = counts
+        self.width, n_states = len(words), 1 + len(words) + len(bigrams)
+        # the words of a bigram and the bigram before a trigram's last word, from any of their occurrences
+        first, last = np.zeros(len(bigrams), np.int64), np.zeros(len(bigrams), np.int64)
+        first[grams.bigram], last[grams.bigram] = grams.before, grams.word
+        history, third = np.zeros(len(trigrams), np.int64), np.zeros(len(trigrams), np.int64)
+        history[grams.trigram], third[grams.trigram] = grams.bigram[grams.third - 1], grams.word[grams.third]
+        tail = np.zeros(len(trigrams), np.int64)
+        tail[grams.trigram] = grams.bigram[grams.third]
+
+        root = (words + 1.0) / (total + types + 1.0)
+        one, two = failure_weight(words, 1), failure_weight(bigrams, 2)
+        pair = (1 - one[first]) * bigrams / np.maximum(words[first], 1) + one[first] * root[last]
+        triple = (1 - two[history]) * trigrams / np.maximum(bigrams[history], 1) + two[history] * pair[tail]
+        self.fails_to = np.zeros(n_states, np.int64)
+        self.fails_to[1 + len(words) :] = 1 + last
+        self.failure = np.log10(np.concatenate([[1.0], one, two]))
+
+        word_state = np.where(words > 0, 1 + np.arange(len(words)), 0)
+        bigram_state = 1 + len(words) + np.arange(len(bigrams))
+        seen, known = np.flatnonzero(bigrams > 0), np.flatnonzero(trigrams > 0)
+        arcs = np.concatenate([np.arange(len(words)), (1 + first[seen]) * self.width + last[seen], (bigram_state[history[known]]) * self.width + third[known]])
+        order = np.argsort(arcs)
+        self.arcs = arcs[order]
+        self.weight = np.log10(np.concatenate([root, pair[seen], triple[known]]))[order]
+        self.leads_to = np.concatenate([word_state, bigram_state[seen], bigram_state[tail[known]]])[order]
+        start = np.searchsorted(grams.keys[0], START)
+        self.start = word_state[start]
+
+    def walk(self, tokens: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One token each of many texts: the log probabilities, and the states that follow."""
+        weight, state = np.zeros(len(tokens)), state.copy()
+        todo = np.arange(len(tokens))
+        place = np.empty(len(tokens), np.int64)
+        while len(todo):
+            arc = state[todo] * self.width + tokens[todo]
+            at = np.minimum(np.searchsorted(self.arcs, arc), len(self.arcs) - 1)
+            place[todo] = at
+            todo = todo[self.arcs[at] != arc]
+            weight[todo] += self.failure[state[todo]]
+            state[todo] = self.fails_to[state[todo]]
+        return weight + self.weight[place], self.leads_to[place]
+
+    def score(self, grams: NGrams) -> np.ndarray:
+        """Log10 probability of each text: walked from left to right, all texts of the block side by side."""
+        n_walks = -(-grams.sizes // WALK)
+        text = np.repeat(np.arange(len(grams.sizes)), n_walks)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(n_walks) - n_walks, n_walks)
+        # a stretch within a text starts MEMORY tokens early, unweighed: then its state is that of the whole walk
+        first = grams.first[text]
+        begin = first + nth * WALK
+        end = np.minimum(begin + WALK, first + grams.sizes[text])
+        at = np.maximum(begin - MEMORY, first)
+        state, sums = np.where(at > first, 0, self.start), np.zeros(len(text))
+        order = np.argsort(at - end, kind="stable")
+        at, end, begin, state, text = at[order], end[order], begin[order], state[order], text[order]
+        shorter = at - end  # longest first
+        for step in range(-int(shorter.min(initial=0))):
+            live = int(np.searchsorted(shorter, -step))
+            place = at[:live] + step
+            weight, state[:live] = self.walk(grams.word[place], state[:live])
+            sums[:live] += np.where(place >= begin[:live], weight, 0.0)
+        return np.bincount(text, weights=sums, minlength=len(grams.sizes))
 
 
 def score_language(docs: DataFrame, train: Column) -> DataFrame:
     """(doc_id, train, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``; the model
     learns from the rows for which ``train`` holds.
 
-    A null text counts as empty: its only token is the end. Equal rows are counted and scored each; without any
-    training row, counts are 0 and all scores too; an empty table gives no rows; other columns are ignored."""
-    docs = small_batches(steady(docs, "language"))
-    n_rows = docs.count()
-    ranges = (max(1, -(-n_rows // (RANGE_ROWS * WORD_RANGES))), max(1, -(-n_rows // RANGE_ROWS)))
-    number = F.monotonically_increasing_id()
-    place = F.shiftleft(F.spark_partition_id().cast("long"), 33) + F.floor(number.bitwiseAND((1 << 33) - 1) / BLOCK_ROWS)
-    placed = whole_ids(docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"), place.alias("block")))
-
-    def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordHashes()
-
-        def emit(number: int, parts: list[pd.DataFrame]) -> pd.DataFrame:
-            rows = pd.concat(parts) if len(parts) > 1 else parts[0]
-            block = Block(list(rows["text"]), cache)
-            out = []
-            for kind, (keys, counts) in enumerate(zip(block.keys, block.own_counts(rows["train"].to_numpy(bool)), strict=True)):
-                cuts = [0, *np.searchsorted(keys, edges_of(ranges[kind])).tolist(), len(keys)]
-                out += [(kind, part, number, block.check(), to_blob(keys[a:b]), plain_blob(counts[a:b])) for part, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
-            return pd.DataFrame(out, columns=["kind", "part", "block", "mark", "keys", "counts"])
-
-        now, held = None, []
-        for frame in frames:
-            for number, rows in frame.groupby("block", sort=False):
-                if number != now and held:
-                    yield emit(now, held)
-                    held = []
-                now = number
-                held.append(rows)
-        if held:
-            yield emit(now, held)
-        release()
-
-    def added(frame: pd.DataFrame) -> pd.DataFrame:
-        keys = [of_blob(x) for x in frame["keys"]]
-        own = np.concatenate([of_plain(x) for x in frame["counts"]]).astype(np.int64)
-        sizes = np.array([len(x) for x in keys])
-        flat = np.concatenate(keys)
-        distinct, which = np.unique(flat, return_inverse=True)
-        totals = np.bincount(which, weights=own).astype(np.int64)
-        kind = int(frame["kind"].iloc[0])
-        words = (distinct != START) & (totals > 0) & (kind == 0)
-        answers = [(kind, int(frame["part"].iloc[0]), -1, 0, b"", b"", int(totals[words].sum()), int(words.sum()))]
-        total = totals[which]
-        ends = np.cumsum(sizes)
-        for block, mark, a, b in zip(frame["block"], frame["mark"], ends - sizes, ends, strict=True):
-            other = np.flatnonzero(total[a:b] != own[a:b])
-            answers.append((kind, int(frame["part"].iloc[0]), block, mark, to_blob(other), plain_blob(total[a:b][other]), 0, 0))
-        del keys, own, flat, distinct, which, totals, total, frame
-        release()
-        return pd.DataFrame(answers, columns=["kind", "part", "block", "mark", "at", "total", "tokens", "types"])
-
-    lists = placed.mapInPandas(listed, "kind int, part int, block long, mark long, keys binary, counts binary")
-    schema = "kind int, part int, block long, mark long, at binary, total binary, tokens long, types long"
-    answers = materialize(lists.groupBy("kind", "part").applyInPandas(added, schema), "ngrams")
-    sums = answers.where("block < 0").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
-    total, types = sums["tokens"] or 0, sums["types"] or 0
-
-    def scored(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        block = Block(list(rows["text"]), WordHashes())
-        if len(told) and (told["mark"] != block.check()).any():
-            raise RuntimeError("the scan dealt out its rows in another way than before; materialize the input")
-        counts = block.own_counts(rows["train"].to_numpy(bool))
-        cuts = [np.array([0, *np.searchsorted(keys, edges_of(n))]) for keys, n in zip(block.keys, ranges, strict=True)]
-        for kind, part, at, value in zip(told["kind"], told["part"], told["at"], told["total"], strict=True):
-            counts[kind][cuts[kind][part] + of_blob(at).astype(np.int64)] = of_plain(value).astype(np.int64)
-        out = {"doc_id": rows["doc_id"].to_numpy(), "train": rows["train"].to_numpy(bool)}
-        out |= score_block(block, *counts, total, types)
-        return pd.DataFrame(out | {"train_tokens": np.full(len(rows), total, np.int64)})
-
-    told = answers.where("block >= 0").select("kind", "part", "block", "mark", "at", "total")
-    out = placed.groupBy("block").cogroup(told.groupBy("block"))
-    return real_ids(out.applyInPandas(scored, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double, train_tokens long"))
+    A null text counts as empty: its only token is the end. A very long text is scored whole, in a block of its
+    own. Equal rows are counted and scored each; without any training row, counts are 0 and scores those of
+    unigrams; an empty table gives no rows; other columns, whatever their names, are ignored."""
+    held = counting.numbered(small_batches(docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"))), "language")
+    docs = counting.corpus(whole_ids(held))
+    ranges, cache = [docs.ranges(s) for s in SHARES], WordHashes()
+    items_of = lambda rows: NGrams(rows, cache)
+    answers = counting.totals(docs, items_of, ranges, 64, "ngrams")
+    # the start is among the words, but is no token
+    found = {r["kind"]: r for r in answers.where(F.col("nth") == counting.SUMS).groupBy("kind").agg(F.sum("items").alias("items"), F.sum("occurrences").alias("occurrences")).collect()}
+    texts = docs.docs.where("train").count()
+    total = found[0]["occurrences"] - texts if found else 0
+    types = found[0]["items"] - (texts > 0) if found else 0
+
+    def scored(rows: pd.DataFrame, grams: NGrams, counts: list[np.ndarray]) -> pd.DataFrame:
+        add = lambda x: np.bincount(grams.row, weights=x, minlength=len(rows))
+        root = np.log10((counts[0] + 1.0) / (total + types + 1.0))
+        return pd.DataFrame({
+            "doc_id": rows["doc_id"].to_numpy(), "train": rows["train"].to_numpy(bool), "n_tokens": grams.sizes,
+            "n_known": add(counts[0][grams.word] > 0).astype(np.int64), "base_score": add(root[grams.word]),
+            "score": Automaton(grams, counts, total, types).score(grams), "train_tokens": np.full(len(rows), total, np.int64),
+        })
+
+    schema = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double, train_tokens long"
+    return real_ids(counting.applied(docs, answers, items_of, ranges, 64, scored, schema))

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tessera.llm import catalog, components, ftrl, jaccard, language, mixing, packing, quality, rules, sharding, spotsigs, substrings, toxicity
+from tessera.llm import catalog, components, counting, ftrl, jaccard, language, mixing, packing, quality, rules, sharding, spotsigs, substrings, toxicity
 from tessera.llm.common import salted_rank
 
 FOLDER = "/root/testdata/sf0.01"
@@ -377,49 +377,95 @@ def test_components_by_stars(spark):
 # Language model
 
 
+def plain_automaton(texts, train):
+    """A walk function over an automaton of dictionaries, and the counts (words, N, V) of the training texts."""
+    tokens = {d: [*WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), "</s> "] for d, t in texts.items()}
+    grams = Counter()
+    for d, w in tokens.items():
+        if train(d):
+            history = ("<s> ",)
+            grams[history] += 1
+            for t in w:
+                for n in range(len(history) + 1):
+                    grams[(*history[n:], t)] += 1
+                history = (*history, t)[-2:]
+    n = sum(c for g, c in grams.items() if len(g) == 1 and g[0] != "<s> ")
+    v = sum(1 for g in grams if len(g) == 1 and g[0] != "<s> ")
+
+    def failure(history):
+        first, fall, least = language.FAILURE[len(history) - 1]
+        return max(least, first - fall * math.log2(grams[history])) if grams[history] else 1.0
+
+    def p(history, t):
+        if not history:
+            return (grams[t,] + 1) / (n + v + 1)
+        weight = failure(history)
+        return (1 - weight) * grams[(*history, t)] / max(grams[history], 1) + weight * p(history[1:], t)
+
+    def walk(d):
+        state, log = ("<s> ",) if grams["<s> ",] else (), 0.0
+        for t in tokens[d]:
+            while state and not grams[(*state, t)]:  # no arc
+                log += math.log10(failure(state))
+                state = state[1:]
+            log += math.log10(p(state, t))
+            state = (*state, t)[-2:]
+            while state and not grams[state]:  # no such state
+                state = state[1:]
+        return log
+
+    return tokens, grams, n, v, p, walk
+
+
 def test_scores_whole_table(query, docs):
     got = query("op8_lm_scoring").set_index("doc_id")
-    tokens = {d: [*WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None] for d, t in zip(docs.doc_id, docs.text, strict=True)}
-    words, pairs = Counter(), Counter()
+    train = lambda d: zlib.crc32(str(d).encode()) % 7 != 2
+    tokens, grams, n, v, p, walk = plain_automaton(dict(zip(docs.doc_id, docs.text, strict=True)), train)
     for d, w in tokens.items():
-        if zlib.crc32(str(d).encode()) % 7 != 2:
-            words["<s>"] += 1
-            words.update(w)
-            pairs.update(zip(["<s>", *w], w, strict=False))
-    n, v = sum(c for w, c in words.items() if w != "<s>"), len(words) - 1
-    for d, w in list(tokens.items())[::11]:
-        root = [(words[t] + 1) / (n + v + 1) for t in w]
-        base, score = sum(map(math.log10, root)), 0.0
-        for u, t, p in zip(["<s>", *w], w, root, strict=False):
-            weight = min(1, max(0.1, 0.75 - 0.03 * math.log2(words[u] + 1))) if words[u] else 1.0
-            score += math.log10((1 - weight) * pairs[u, t] / max(words[u], 1) + weight * p)
         r = got.loc[d]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(words[t] > 0 for t in w), n)
-        assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score)
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(grams[t,] > 0 for t in w), n, not train(d))
+        assert r.base_score == pytest.approx(sum(math.log10(p((), t)) for t in w)) and r.score == pytest.approx(walk(d))
     held = got[got.held_out]
-    assert held.score.sum() > held.base_score.sum()
+    assert held.score.sum() > 0.85 * held.base_score.sum()
 
 
 def test_next_word_probabilities_add_up(spark):
-    texts = ["a b a c", "b b", "c a"]
+    texts = ["a b a c", "b b", "c a", "a b c"]
     vocabulary = ["a", "b", "c", "zz"]
-    rows = [(i, t) for i, t in enumerate(texts)] + [(10 + i, f"a {w}") for i, w in enumerate(vocabulary)] + [(20, "a")]
-    out = language.score_language(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 10).toPandas().set_index("doc_id")
-    # log p(w | a) of each word: the walk over "a w" less the steps to "a" and from w to the end
-    words, pairs = Counter({"<s>": 3}), Counter()
-    for t in texts:
-        w = [*t.split(), None]
-        words.update(w)
-        pairs.update(zip(["<s>", *w], w, strict=False))
-    n, v = sum(c for k, c in words.items() if k != "<s>"), len(words) - 1
-
-    def p(u, t):
-        weight = min(1, max(0.1, 0.75 - 0.03 * math.log2(words[u] + 1))) if words[u] else 1.0
-        return (1 - weight) * pairs[u, t] / max(words[u], 1) + weight * (words[t] + 1) / (n + v + 1)
-
-    for i, w in enumerate(vocabulary):
-        assert out.score[10 + i] == pytest.approx(math.log10(p("<s>", "a") * p("a", w) * p(w, None)))
-    assert sum(p("a", t) for t in [*vocabulary, None]) == pytest.approx(1)
+    rows = dict(enumerate(texts)) | {10 + i: f"a b {w}" for i, w in enumerate(vocabulary)} | {20: "a b"}
+    out = language.score_language(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), F.col("doc_id") < 10).toPandas().set_index("doc_id")
+    *_, p, walk = plain_automaton(rows, lambda d: d < 10)
+    for d in rows:
+        assert out.score[d] == pytest.approx(walk(d))
+    for history in ((), ("a",), ("a", "b"), ("<s> ",), ("<s> ", "a")):
+        assert sum(p(history, t) for t in [*vocabulary, "</s> "]) == pytest.approx(1)
+
+
+def test_blocks_and_ranges_change_nothing(spark, docs, monkeypatch):
+    """Many small blocks and ranges, over several files, give the scores of one block."""
+    frame = spark.read.parquet(f"{FOLDER}/documents.parquet").where("doc_id < 300").repartition(3)
+    score = lambda: {r.doc_id: r for r in language.score_language(frame, F.col("doc_id") % 3 != 0).collect()}
+    whole = score()
+    monkeypatch.setattr(counting, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(counting, "STRETCH_ROWS", 17)
+    for d, r in score().items():
+        assert r[:5] == whole[d][:5] and r.base_score == pytest.approx(whole[d].base_score) and r.score == pytest.approx(whole[d].score)
+
+
+def test_long_texts_are_walked_in_stretches(docs, monkeypatch):
+    rows = docs[["text"]].head(200).assign(train=[i % 4 > 0 for i in range(200)])
+    grams = language.NGrams(rows, language.WordHashes())
+    total = int(grams.own[0].sum())
+    automaton = language.Automaton(grams, grams.own, total, 1000)
+    whole = automaton.score(grams)
+    for walk in (1, 2, 3, 50, 1 << 30):
+        monkeypatch.setattr(language, "WALK", walk)
+        assert automaton.score(grams) == pytest.approx(whole)
+
+
+def test_blocks_grow_with_the_root_of_the_corpus():
+    rows = [counting.Corpus(None, 0, size).ranges() * size / counting.Corpus(None, 0, size).block for size in (10**9, 10**11, 10**13)]
+    assert rows[0] < rows[1] < 200 * rows[0] and rows[2] == pytest.approx(100 * rows[1], rel=0.01)
 
 
 # Packing
