@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -122,7 +123,8 @@ def small_batches(docs: DataFrame, rows: int = 1000) -> DataFrame:
 def steady(docs: DataFrame, name: str) -> DataFrame:
     """``docs``, if its rows come straight from files, and so have a place there; else a materialized copy."""
     plan = docs._jdf.queryExecution().sparkPlan().toString()
-    plain = "FileScan" in plan and not any(x in plan for x in ("Exchange", "Join", "Aggregate", "InMemoryTableScan", "Python", "Pandas", "Arrow", "ExistingRDD", "LocalTable", "Window", "Generate", "Limit", "Union", "Filter"))
+    nodes = [re.sub(r"^[\s+:*()\d-]*", "", line).split(" ")[0] for line in plan.splitlines() if line.strip()]
+    plain = nodes.count("FileScan") == 1 and set(nodes) <= {"FileScan", "Project", "ColumnarToRow"}
     return docs if plain else materialize(docs, name)
 
 
