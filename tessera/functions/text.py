@@ -45,10 +45,6 @@ def flag(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False)).cast("int")
 
 
-def ascii_only(text: Column) -> Column:
-    return F.regexp_replace(text, r"[^\x00-\x7F]", "")
-
-
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 

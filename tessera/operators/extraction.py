@@ -32,7 +32,7 @@ def is_machine_line(text: Column) -> Column:
 
 def country_of(joined: Column, countries: tuple[tuple[str, tuple[str, ...]], ...] = COUNTRIES) -> Column:
     """The first country, in order, one of whose names stands in the text as whole words."""
-    return F.coalesce(*[F.when(joined.rlike(rf"\b({'|'.join(aliases)})\b"), F.lit(name)) for name, aliases in countries])
+    return F.coalesce(*[F.when(joined.rlike(rf"(?U)\b({'|'.join(aliases)})\b"), F.lit(name)) for name, aliases in countries])
 
 
 def templates(segments: DataFrame, doc: str = "doc") -> DataFrame:

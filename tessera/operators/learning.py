@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import Pipeline
@@ -13,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.operators.evaluation import macro_f1
+from tessera.operators.evaluation import confusion, fold_scores
 
 
 def minmax_scaled(df: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -61,17 +63,27 @@ def char_grams(text: Column, sizes: tuple[int, ...] = (1, 2)) -> Column:
     return F.concat(*[grams(n) for n in sizes])
 
 
-def tfidf(df: DataFrame, tokens: str, size: int, out: str = "features") -> DataFrame:
-    """Length-1 vectors of counts times ln((1 + n) / (1 + df)) + 1 over the ``size`` commonest tokens."""
-    counted = CountVectorizer(inputCol=tokens, outputCol="_tf", vocabSize=size).fit(df)
-    held = counted.transform(df)
+def tfidf_fit(train: DataFrame, tokens: str, size: int, out: str = "features") -> Callable[[DataFrame], DataFrame]:
+    """A function that adds length-1 vectors of counts times ln((1 + n) / (1 + df)) + 1 over the ``size`` commonest
+    tokens of ``train``; all it knows comes from there."""
+    counted = CountVectorizer(inputCol=tokens, outputCol="_tf", vocabSize=size).fit(train)
+    held = counted.transform(train)
     width = len(counted.vocabulary)
     present = held.select(F.posexplode(vector_to_array("_tf")).alias("i", "x")).where("x > 0")
     n = held.count()
     known = dict.fromkeys(range(width), 0) | {r["i"]: r["c"] for r in present.groupBy("i").agg(F.count(F.lit(1)).alias("c")).collect()}
     idf = F.array(*[F.log(F.lit((1.0 + n) / (1.0 + known[i]))) + 1.0 for i in range(width)])
-    weighed = held.withColumn("_w", array_to_vector(F.zip_with(vector_to_array("_tf"), idf, lambda a, b: a * b)))
-    return Normalizer(inputCol="_w", outputCol=out).transform(weighed).drop("_tf", "_w")
+
+    def add(df: DataFrame) -> DataFrame:
+        weighed = counted.transform(df).withColumn("_w", array_to_vector(F.zip_with(vector_to_array("_tf"), idf, lambda a, b: a * b)))
+        return Normalizer(inputCol="_w", outputCol=out).transform(weighed).drop("_tf", "_w")
+
+    return add
+
+
+def tfidf(df: DataFrame, tokens: str, size: int, out: str = "features") -> DataFrame:
+    """``tfidf_fit`` of a frame to itself."""
+    return tfidf_fit(df, tokens, size, out)(df)
 
 
 def word_tokens(df: DataFrame, column: str, out: str = "tokens") -> DataFrame:
@@ -86,36 +98,61 @@ def forest(label: str, trees: int = 200, depth: int = 10) -> RandomForestClassif
     return RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth, seed=42)
 
 
-def boosted(label: str, rounds: int = 100, depth: int = 5) -> OneVsRest:
-    """Gradient boosting for several classes: one booster against the rest for each."""
-    return OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=42), labelCol=label)
+def boosted(label: str, rounds: int = 100, depth: int = 5, classes: int = 2) -> GBTClassifier | OneVsRest:
+    """Gradient boosting; for more than two classes one booster against the rest for each."""
+    booster = GBTClassifier(labelCol=label, weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=42)
+    return booster if classes == 2 else OneVsRest(classifier=booster, labelCol=label, weightCol="weight")
 
 
 def assembled(df: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features").transform(df.na.fill(0, columns))
 
 
-def held_out(df: DataFrame, label: str, make: Callable[[str], object], folds: list[int]) -> DataFrame:
-    """The rows of all ``folds``, each with the prediction of a model fitted on the other folds; the frame is read once."""
+Prepare = Callable[[DataFrame], Callable[[DataFrame], DataFrame]]
+
+
+def _split(df: DataFrame, label: str, fold: int, prepare: Prepare | None) -> tuple[DataFrame, DataFrame]:
+    """The weighed training rows and the test rows of a fold; ``prepare`` sees the training rows alone."""
+    train, test = df.where(F.col("fold") != fold), df.where(F.col("fold") == fold)
+    if prepare:
+        add = prepare(train)
+        train, test = add(train), add(test)
+    return balanced_weight(train, label), test
+
+
+def held_out(df: DataFrame, label: str, make: Callable[[str], object], folds: list[int], prepare: Prepare | None = None) -> DataFrame:
+    """The rows of all ``folds``, each with the prediction of a model fitted on the other folds. Folds are fitted side by
+    side."""
     held = df.cache()
-    parts = []
-    for k in folds:
-        train = balanced_weight(held.where(F.col("fold") != k), label)
-        parts.append(make(label).fit(train).transform(held.where(F.col("fold") == k)))
-    return reduce(DataFrame.unionByName, parts)
+    held.count()
+
+    def one(fold: int) -> DataFrame:
+        train, test = _split(held, label, fold, prepare)
+        return make(label).fit(train.coalesce(1)).transform(test)
+
+    with ThreadPoolExecutor(len(folds)) as pool:
+        return reduce(DataFrame.unionByName, pool.map(one, folds))
 
 
 def out_of_fold(df: DataFrame, label: str, models: dict[str, Callable[[str], object]], folds: list[int]) -> DataFrame:
-    """(fold, model, macro_f1, weighted_f1), each model fitted on the other folds; the frame is read once."""
+    """(fold, model, macro_f1, weighted_f1, train_time_sec, infer_time_sec), each model fitted on the other folds. The times
+    are the driver's; folds run one after the other, so that they don't hold each other up."""
     held = df.cache()
     rows = []
-    for k in folds:
-        train, test = balanced_weight(held.where(F.col("fold") != k), label), held.where(F.col("fold") == k)
-        for name, make in models.items():
-            guessed = Pipeline(stages=[make(label)]).fit(train).transform(test)
-            scores = macro_f1(guessed.select(F.col(label).cast("int").alias("y"), F.col("prediction").cast("int").alias("yhat")))
-            rows.append(scores.select(F.lit(k).alias("fold"), F.lit(name).alias("model"), "macro_f1", "weighted_f1"))
-    return reduce(DataFrame.unionByName, rows)
+    try:
+        for k in folds:
+            train, test = _split(held, label, k, None)
+            for name, make in models.items():
+                began = time.perf_counter()
+                fitted = Pipeline(stages=[make(label)]).fit(train.coalesce(1))
+                trained = time.perf_counter()
+                cells = confusion(fitted.transform(test).select(F.col(label).cast("int").alias("y"), F.col("prediction").cast("int").alias("yhat"))).collect()
+                inferred = time.perf_counter()
+                rows += [(k, name, r["y"], r["yhat"], r["n"], trained - began, inferred - trained) for r in cells]
+    finally:
+        held.unpersist()
+    cells = df.sparkSession.createDataFrame(rows, "fold int, model string, y int, yhat int, n long, train_time_sec double, infer_time_sec double")
+    return fold_scores(cells, ["fold", "model", "train_time_sec", "infer_time_sec"]).select("fold", "model", "macro_f1", "weighted_f1", "train_time_sec", "infer_time_sec")
 
 
 def group_folds(df: DataFrame, group: str, label: str, k: int = 5) -> DataFrame:

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from tessera.functions import distance
 from tessera.functions.geometry import confidence_bin
-from tessera.functions.text import flag, rule_field
+from tessera.functions.text import flag, rule_field, words
 from tessera.operators import evaluation, labels
 from tessera.operators.learning import standardized
 from tessera.plans.features import M2_SQL
 from tessera.plans.registry import query
-from tessera.plans.strings import LINES, NAMES, RENDERED, RULED, STRIP, TURNS, _overlap_sql, _weak_sql, lines, names, rendered, turns
+from tessera.plans.strings import LINES, NAMES, RENDERED, RULED, STRIP, TURNS, _overlap_sql, _weak_sql, edits, lines, names, rendered, sql_words, turns, up
 from tessera.sources.tables import Tables
 
 
@@ -139,7 +139,7 @@ def w9(t: Tables) -> DataFrame:
 
 
 CURVE = f"""c AS (SELECT conv_id, avg(CASE WHEN len(r) = 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - len(list_intersect(r, h)) / len(r)::DOUBLE END) AS pseudo_cer, avg(length(hyp) % 100) / 100 AS conf
-  FROM (SELECT conv_id, hyp, list_distinct(list_filter(regexp_split_to_array(upper(hyp), '\\s+'), lambda w: w <> '')) AS h, list_distinct(list_filter(regexp_split_to_array(upper(ref), '\\s+'), lambda w: w <> '')) AS r FROM p) GROUP BY 1)"""
+  FROM (SELECT conv_id, hyp, list_distinct(list_filter(regexp_split_to_array({up('hyp')}, '\\s+'), lambda w: w <> '')) AS h, list_distinct(list_filter(regexp_split_to_array({up('ref')}, '\\s+'), lambda w: w <> '')) AS r FROM p) GROUP BY 1)"""
 
 
 @query("x5_triage_curve", f"WITH {TURNS}, {CURVE}, b AS (SELECT *, {M2_SQL.replace('value / 500', 'conf')} AS bin FROM c) SELECT bin, round(median(pseudo_cer), 9) AS median FROM b WHERE bin IS NOT NULL GROUP BY 1")
@@ -152,14 +152,28 @@ def curve(t: Tables) -> DataFrame:
     return turns(t).groupBy("conv_id").agg(F.avg(distance.pseudo_cer(F.col("hyp"), F.col("ref"))).alias("pseudo_cer"), (F.avg(F.length("hyp") % 100) / 100).alias("conf"))
 
 
-@query("l18_train_threshold", f"""WITH {TURNS}, {CURVE}, k AS (SELECT unnest(range(5)) AS fold),
-b AS (SELECT fold, {M2_SQL.replace('value / 500', 'conf')} AS bin, median(1 - pseudo_cer) AS m FROM c, k WHERE conv_id % 5 <> fold GROUP BY 1, 2)
-SELECT fold, coalesce(min(bin) FILTER (WHERE m >= 0.02), 0.85::DOUBLE) AS threshold FROM b WHERE bin IS NOT NULL GROUP BY 1""")
+READ_SQL = f"""w AS (SELECT conv_id, {sql_words(up('text'))} AS r, (length(text) % 100) / 100 AS conf FROM conversations),
+h AS (SELECT conv_id, conf, r, list_distinct(list_filter(r, lambda x, i: i <= ceil(conf * len(r)))) AS h FROM w),
+c AS (SELECT conv_id, conf, CASE WHEN len(r) = 0 THEN 0.0::DOUBLE ELSE len(list_filter(r, lambda x: len(list_filter(h, lambda y:
+  CASE WHEN length(x) >= 4 THEN {edits('x', 'y')} <= 1 ELSE x = y END)) > 0)) / len(r)::DOUBLE END AS recall FROM h)"""
+
+
+def read_in_part(t: Tables) -> DataFrame:
+    """(conv_id, conf, recall): turns of which a share of the words, taken for the confidence, is read."""
+    read = t.conversations.select("conv_id", "text", ((F.length("text") % 100) / 100).alias("conf"), words(F.upper("text")).alias("w"))
+    hyp = F.array_join(F.filter("w", lambda x, i: i < F.ceil(F.col("conf") * F.size("w"))), " ")
+    return read.select("conv_id", "conf", distance.token_recall(hyp, F.col("text")).alias("recall"))
+
+
+@query("l18_train_threshold", f"""WITH {READ_SQL}, k AS (SELECT unnest(range(5)) AS fold),
+b AS (SELECT fold, {M2_SQL.replace('value / 500', 'conf')} AS bin, median(recall) AS m FROM c, k WHERE conv_id % 5 <> fold GROUP BY 1, 2)
+SELECT fold, coalesce(min(bin) FILTER (WHERE m >= 0.8), 0.85::DOUBLE) AS threshold FROM b WHERE bin IS NOT NULL GROUP BY 1""")
 def l18(t: Tables) -> DataFrame:
-    rows = curve(t).withColumn("recall", 1 - F.col("pseudo_cer")).withColumn("bin", confidence_bin(F.col("conf"))).where("bin IS NOT NULL")
+    """For each fold, the lower edge of the first bin of confidence whose median recall over the other folds is 0.8."""
+    rows = read_in_part(t).withColumn("bin", confidence_bin(F.col("conf"))).where("bin IS NOT NULL")
     others = rows.withColumn("fold", F.explode(F.filter(F.sequence(F.lit(0).cast("bigint"), F.lit(4).cast("bigint")), lambda k: k != F.col("conv_id") % 5)))
     medians = others.groupBy("fold", "bin").agg(F.median("recall").alias("m"))
-    return medians.groupBy("fold").agg(F.coalesce(F.min(F.when(F.col("m") >= 0.02, F.col("bin"))), F.lit(0.85)).alias("threshold"))
+    return medians.groupBy("fold").agg(F.coalesce(F.min(F.when(F.col("m") >= 0.8, F.col("bin"))), F.lit(0.85)).alias("threshold"))
 
 
 @query("x1_overlap_distribution", f"""WITH {TURNS}, o AS (SELECT {_overlap_sql('hyp', 'ref')} AS m FROM p)
@@ -180,13 +194,13 @@ def x2(t: Tables) -> DataFrame:
     return scored.select("p_partkey", labels.weak_label(F.col("name"), F.col("birth_date"), F.col("address")).alias("label"))
 
 
-@query("x4_borderline", f"WITH {TURNS}, o AS (SELECT conv_id, turn, {_overlap_sql('hyp', 'ref')} AS m FROM p) SELECT conv_id, turn, m FROM o WHERE m >= 0.1 AND m < 0.3")
+@query("x4_borderline", f"WITH {TURNS}, o AS (SELECT conv_id, turn, {_overlap_sql('hyp', 'ref')} AS m FROM p) SELECT conv_id, turn, m FROM o WHERE m >= 0.3 AND m < 0.5")
 def x4(t: Tables) -> DataFrame:
     m = turns(t).select("conv_id", "turn", distance.token_overlap(F.col("hyp"), F.col("ref")).alias("m"))
-    return m.where("m >= 0.1 AND m < 0.3")
+    return m.where("m >= 0.3 AND m < 0.5")
 
 
-@query("x6_label_coverage", f"""WITH {LINES}, f AS (SELECT doc_id, {RULED} AS field FROM (SELECT *, upper({STRIP.format('text')}) AS u FROM l))
+@query("x6_label_coverage", f"""WITH {LINES}, f AS (SELECT doc_id, {RULED} AS field FROM (SELECT *, {up(STRIP.format('text'))} AS u FROM l))
 SELECT doc_id, bool_or(field = 'name') AS has_name, bool_or(field = 'birth_date') AS has_dob, bool_or(field = 'address') AS has_addr FROM f GROUP BY 1""")
 def x6(t: Tables) -> DataFrame:
     fields = lines(t).select("doc_id", rule_field(F.col("text")).alias("field"))

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from tessera.operators import evaluation
 from tessera.operators.learning import balanced_weight
 from tessera.plans.registry import query
+from tessera.plans.strings import stands
 from tessera.sources.tables import Tables
 
 GUESS = "g AS (SELECT quality AS y, (n_chars >= 1500)::INT AS yhat FROM documents JOIN labels USING (doc_id))"
-CLASSES = """g AS (SELECT CASE WHEN lang = 'en' THEN 0 WHEN lang = 'de' THEN 1 WHEN lang = 'fr' THEN 2 ELSE 3 END AS y,
-  CASE WHEN regexp_matches(text, '(?i)\\bthe\\b') THEN 0 WHEN regexp_matches(text, '(?i)\\bund\\b') THEN 1 WHEN regexp_matches(text, '(?i)\\bqui\\b') THEN 2 WHEN regexp_matches(text, '(?i)\\bpor\\b') THEN 3 ELSE 4 END AS yhat FROM (SELECT lang, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS text FROM documents))"""
+CLASSES = f"""g AS (SELECT CASE WHEN lang = 'en' THEN 0 WHEN lang = 'de' THEN 1 WHEN lang = 'fr' THEN 2 ELSE 3 END AS y,
+  CASE WHEN regexp_matches(text, '{stands('the')}') THEN 0 WHEN regexp_matches(text, '{stands('und')}') THEN 1 WHEN regexp_matches(text, '{stands('qui')}') THEN 2
+    WHEN regexp_matches(text, '{stands('por')}') THEN 3 ELSE 4 END AS yhat FROM documents)"""
 
 
 def guess(t: Tables) -> DataFrame:
@@ -20,7 +22,7 @@ def guess(t: Tables) -> DataFrame:
 
 
 def classes(t: Tables) -> DataFrame:
-    lang, says = F.col("lang"), lambda w: t.seen(F.col("text")).rlike(rf"(?iU)\b{w}\b")
+    lang, says = F.col("lang"), lambda w: F.col("text").rlike(rf"(?iU)\b{w}\b")
     y = F.when(lang == "en", 0).when(lang == "de", 1).when(lang == "fr", 2).otherwise(3)
     yhat = F.when(says("the"), 0).when(says("und"), 1).when(says("qui"), 2).when(says("por"), 3).otherwise(4)
     return t.documents.select(y.alias("y"), yhat.alias("yhat"))

@@ -88,6 +88,13 @@ def x9_date(t: Tables) -> DataFrame:
     return extraction.assembled_date(items(t))
 
 
+@query("w6_first_valid", f"""WITH {ITEMS}, d AS (SELECT *, regexp_matches(text, '^\\d{{2}}\\.\\d{{2}}\\.\\d{{4}}$') AS dated FROM i)
+SELECT doc, arg_min(text[7:10] || '-' || text[4:5] || '-' || text[1:2], seg_idx) AS value, arg_min(ocr_conf, seg_idx) AS conf FROM d WHERE dated GROUP BY 1""")
+def w6(t: Tables) -> DataFrame:
+    """The first segment, whatever its label, that reads as a whole date."""
+    return extraction.scanned_date(items(t))
+
+
 @query("x10_machine_lines", """SELECT o_orderkey, 'ANNA MARIA ' || trim(upper(o_orderpriority[3:6])) AS name,
   CASE WHEN strftime(o_orderdate, '%y')::INT > 25 THEN '19' ELSE '20' END || strftime(o_orderdate, '%y-%m-%d') AS dob FROM orders""")
 def x10(t: Tables) -> DataFrame:

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import geometry
+from tessera.functions.text import rule_field
 from tessera.operators import segments
-from tessera.operators.learning import minmax_scaled
+from tessera.operators.learning import minmax_scaled, standardized
 from tessera.plans.registry import query
-from tessera.plans.strings import LINES, lines, sql_words
+from tessera.plans.strings import JOINED, LINES, RULED, SQL_ADDRESS, SQL_CARD, SQL_PATRONYMICS, SQL_STATES, STRIP, _any, lines, origin_features, sql_words, stands, up
 from tessera.sources.tables import Tables
 
 ORDER = ["l_quantity", "l_partkey", "l_suppkey", "l_extendedprice"]
@@ -126,11 +127,6 @@ def w5(t: Tables) -> DataFrame:
     return t.lineitem.groupBy("l_orderkey").agg(F.min_by("l_partkey", F.struct(*ORDER)).alias("l_partkey"))
 
 
-@query("w6_first_valid", "SELECT user_id, arg_min(value, event_id) AS first_value FROM events WHERE event_type = 'purchase' AND value > 10 GROUP BY 1")
-def w6(t: Tables) -> DataFrame:
-    return t.events.where("event_type = 'purchase' AND value > 10").groupBy("user_id").agg(F.min_by("value", "event_id").alias("first_value"))
-
-
 @query("w7_positions", """SELECT event_type, event_id FROM (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events
   WINDOW w AS (PARTITION BY event_type ORDER BY value, event_id)) WHERE rn IN (1, n // 2 + 1, n)""")
 def w7(t: Tables) -> DataFrame:
@@ -151,17 +147,33 @@ def l2(t: Tables) -> DataFrame:
     return minmax_scaled(t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity"), {"l_quantity": "scaled"}).drop("l_quantity")
 
 
-@query("x3_feature_rows", f"""WITH {LINES}, f AS (SELECT doc_id, seg_idx, text, (seg_idx * 20 + 5.0::DOUBLE) / 600 AS y_rel FROM l)
-SELECT doc_id, seg_idx, round(y_rel, 9) AS y_rel, 0 AS is_spatial_dummy, length(text)::INT AS text_len, len({sql_words('text')})::INT AS word_count,
-  (row_number() OVER (PARTITION BY doc_id ORDER BY seg_idx) - 1)::INT AS line_rank FROM f""")
+X3_SQL = f"""WITH {LINES}, j AS (SELECT doc_id, {JOINED} AS u FROM l GROUP BY doc_id),
+z AS (SELECT doc_id, round((n_chars - avg(n_chars) OVER ()) / stddev_pop(n_chars) OVER (), 6) AS quality_pc1 FROM documents),
+f AS (SELECT l.*, u, quality_pc1, doc_id % 4 = 0 AS bare, {up(STRIP.format('text'))} AS t FROM l JOIN j USING (doc_id) JOIN z USING (doc_id))
+SELECT doc_id, seg_idx, text, 0.5::DOUBLE + seg_idx % 50 / 100 AS ocr_conf, round(CASE WHEN bare THEN 0 ELSE (seg_idx * 20 + 5) / 600 END, 9)::DOUBLE AS y_rel,
+  round(CASE WHEN bare THEN 0 ELSE (seg_idx % 7 + 50) / 1000 END, 9)::DOUBLE AS x_rel, CASE WHEN bare THEN 0 ELSE 0.1 END::DOUBLE AS width_rel, bare::INT AS is_spatial_dummy,
+  length(text)::INT AS text_len, len({sql_words('text')})::INT AS word_count, length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) / greatest(length(text), 1)::DOUBLE AS alpha_ratio,
+  length(regexp_replace(text, '[^0-9]', '', 'g')) / greatest(length(text), 1)::DOUBLE AS digit_ratio, (text = {up('text')} AND text <> lower(text))::INT AS is_all_caps,
+  regexp_matches(text, '\\d{{4}}-\\d{{2}}-\\d{{2}}|\\d{{2}}/\\d{{2}}/\\d{{4}}|{stands('\\d{4}')}')::INT AS has_date_pattern, {_any(up('text'), SQL_ADDRESS)} AS has_address_kw, {_any(up('text'), SQL_STATES)} AS has_state_kw,
+  regexp_matches(text, '{stands('\\d{5}')}')::INT AS has_postcode, {_any(up('text'), SQL_PATRONYMICS)} AS has_bin_binti, seg_idx AS line_rank, {RULED.replace(' u ', ' t ').replace('(u', '(t')} AS label,
+  CASE WHEN bare THEN '' ELSE (seg_idx % 7) || ',' || seg_idx * 20 || ' ' || (seg_idx % 7 + 100) || ',' || seg_idx * 20 || ' ' || (seg_idx % 7 + 100) || ',' || (seg_idx * 20 + 10) || ' ' || (seg_idx % 7) || ',' || (seg_idx * 20 + 10) END AS box,
+  {_any('u', SQL_CARD)} AS has_mykad_keyword, regexp_matches(u, '{stands('\\d{12}|\\d{6}-\\d{2}-\\d{4}')}')::INT AS has_ic_number_pattern, quality_pc1 FROM f"""
+
+
+@query("x3_feature_rows", X3_SQL)
 def x3(t: Tables) -> DataFrame:
+    """All columns of a segment's features. Lines are segments at made-up places; every fourth document has none."""
     point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
-    y = F.col("seg_idx") * 20
-    box = F.array(point(F.lit(0), y), point(F.lit(100), y), point(F.lit(100), y + 10), point(F.lit(0), y + 10))
-    segs = lines(t).withColumn("ocr_conf", F.lit(0.9)).withColumn("box", box)
+    x, y = F.col("seg_idx") % 7, F.col("seg_idx") * 20
+    box = F.when(F.col("doc_id") % 4 != 0, F.array(point(x, y), point(x + 100, y), point(x + 100, y + 10), point(x, y + 10)))
+    segs = lines(t).withColumn("ocr_conf", F.lit(0.5) + F.col("seg_idx") % 50 / 100).withColumn("box", box).withColumn("label", rule_field(F.col("text")))
     size = t.documents.select("doc_id", F.lit(1000).alias("width"), F.lit(600).alias("height"))
-    out = segments.feature_rows(segs, size, "doc_id")
-    return out.select("doc_id", "seg_idx", F.round("y_rel", 9).alias("y_rel"), "is_spatial_dummy", "text_len", "word_count", "line_rank")
+    origin = origin_features(t).select("doc_id", "has_mykad_keyword", "has_ic_number_pattern")
+    quality = standardized(t.documents.select("doc_id", "n_chars"), {"n_chars": "z"}).select("doc_id", F.round("z", 6).alias("quality_pc1"))
+    out = segments.feature_rows(segs, size, "doc_id").join(origin, "doc_id").join(quality, "doc_id")
+    corner = lambda p: F.concat_ws(",", p["x"].cast("int").cast("string"), p["y"].cast("int").cast("string"))
+    written = F.coalesce(F.array_join(F.transform("box", corner), " "), F.lit(""))
+    return out.withColumn("box", written).withColumns({c: F.round(c, 9) for c in ("y_rel", "x_rel", "width_rel")})
 
 
 @query("x3_result_rows", "SELECT conv_id, turn AS seg_idx, role AS text FROM conversations WHERE turn < 3")

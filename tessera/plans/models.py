@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.ml import Pipeline
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import alpha_ratio, digit_ratio, rule_field, word_count
-from tessera.operators import images, learning
-from tessera.operators.evaluation import class_report, macro_f1
+from tessera.operators import learning
+from tessera.operators.evaluation import class_report, confusion, fold_scores, macro_f1
 from tessera.plans.registry import query
 from tessera.sources.tables import Tables
 
@@ -25,6 +26,26 @@ def l1(t: Tables) -> DataFrame:
     return learning.principal(t.lineitem.select("l_orderkey", *NUMBERS), NUMBERS).select("l_orderkey", "pc1", "pc2")
 
 
+ZS = "z AS (SELECT l_orderkey, l_quantity, (l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER () AS a, (l_extendedprice - avg(l_extendedprice) OVER ()) / stddev_pop(l_extendedprice) OVER () AS b FROM lineitem)"
+
+
+@query("l1_pca_pair", f"""WITH {ZS}, c AS (SELECT avg(a * b) AS c FROM z) SELECT l_orderkey, l_quantity, round(abs(a + b) / sqrt(2), 6) AS along, round(abs(a - b) / sqrt(2), 6) AS across FROM z""")
+def l1_pair(t: Tables) -> DataFrame:
+    """Of two columns, the components are their sum and their difference; the sign of a component that loads both alike
+    is a matter of rounding."""
+    out = learning.principal(t.lineitem.select("l_orderkey", "l_quantity", "l_extendedprice"), ["l_quantity", "l_extendedprice"])
+    rising = out.agg(F.corr("l_quantity", "l_extendedprice") > 0).first()[0]
+    along, across = ("pc1", "pc2") if rising else ("pc2", "pc1")
+    return out.select("l_orderkey", "l_quantity", F.round(F.abs(along), 6).alias("along"), F.round(F.abs(across), 6).alias("across"))
+
+
+@query("a15_variances", f"WITH {ZS}, c AS (SELECT abs(avg(a * b)) AS c FROM z) SELECT round(1 + c, 6) AS first, round(1 - c, 6) AS second FROM c")
+def a15(t: Tables) -> DataFrame:
+    """Eigenvalues of the covariance of two standardized columns: the variances along the components."""
+    out = learning.principal(t.lineitem.select("l_orderkey", "l_quantity", "l_extendedprice"), ["l_quantity", "l_extendedprice"])
+    return out.agg(F.round(F.var_pop("pc1"), 6).alias("first"), F.round(F.var_pop("pc2"), 6).alias("second"))
+
+
 @query("l3_group_folds")
 def l3(t: Tables) -> DataFrame:
     return learning.group_folds(t.orders.withColumn("late", (F.col("o_orderstatus") == "F").cast("int")), "o_custkey", "late")
@@ -45,16 +66,31 @@ def _labelled(t: Tables) -> DataFrame:
 FOLDS = [0, 1, 2, 3, 4]
 
 
-def _guessed(held: DataFrame, make: Callable[[str], object]) -> DataFrame:
+def _guessed(held: DataFrame, make: Callable[[str], object], *prepare: learning.Prepare) -> DataFrame:
     """(doc_id, fold, y, yhat) of every row, out of fold."""
-    guessed = learning.held_out(held, "label", make, FOLDS)
+    guessed = learning.held_out(held, "label", make, FOLDS, *prepare)
     return guessed.select("doc_id", "fold", F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("yhat"))
 
 
+def _tfidf(size: int) -> learning.Prepare:
+    return lambda train: learning.tfidf_fit(train, "tokens", size)
+
+
 @query("l4_word_tfidf_logistic")
 def l4(t: Tables) -> DataFrame:
-    held = learning.tfidf(learning.word_tokens(_labelled(t), "text"), "tokens", 300)
-    return _guessed(held, learning.logistic).select("doc_id", "y", "yhat")
+    return _guessed(learning.word_tokens(_labelled(t), "text"), learning.logistic, _tfidf(300)).select("doc_id", "y", "yhat")
+
+
+@query("l4_tfidf_weights", """WITH w AS (SELECT n_nationkey AS id, unnest(string_split(lower(n_name || ' ' || r_name || ' ' || r_name), ' ')) AS token FROM nation JOIN region ON n_regionkey = r_regionkey),
+c AS (SELECT id, token, count(*) AS tf FROM w WHERE length(token) > 1 GROUP BY 1, 2),
+i AS (SELECT token, ln((1 + (SELECT count(*) FROM nation)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM c GROUP BY 1),
+v AS (SELECT id, token, tf * idf AS x FROM c JOIN i USING (token)) SELECT id, round(sum(x) / sqrt(sum(x * x)), 6) AS total, round(max(x) / sqrt(sum(x * x)), 6) AS highest, count(*) AS n FROM v GROUP BY 1""")
+def l4_weights(t: Tables) -> DataFrame:
+    """The weights themselves, where the vocabulary holds all tokens: their sum, the highest and their number."""
+    names = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("id"), F.concat_ws(" ", "n_name", "r_name", "r_name").alias("text"))
+    held = learning.tfidf(learning.word_tokens(names, "text"), "tokens", 300).withColumn("v", F.filter(vector_to_array("features"), lambda x: x > 0))
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+    return held.select("id", F.round(total, 6).alias("total"), F.round(F.array_max("v"), 6).alias("highest"), F.size("v").cast("bigint").alias("n"))
 
 
 def char_gram_tokens(t: Tables) -> DataFrame:
@@ -62,7 +98,7 @@ def char_gram_tokens(t: Tables) -> DataFrame:
 
 
 def _char_guessed(t: Tables) -> DataFrame:
-    return _guessed(learning.tfidf(char_gram_tokens(t), "tokens", 500), learning.logistic)
+    return _guessed(char_gram_tokens(t), learning.logistic, _tfidf(500))
 
 
 @query("l5_char_tfidf")
@@ -81,7 +117,7 @@ def _featured(t: Tables) -> DataFrame:
 
 @query("l6_boosting")
 def l6(t: Tables) -> DataFrame:
-    return _guessed(_featured(t), lambda label: learning.boosted(label, rounds=10, depth=3)).select("doc_id", "yhat")
+    return _guessed(_featured(t), learning.boosted).select("doc_id", "yhat")
 
 
 @query("l7_forest")
@@ -91,8 +127,13 @@ def l7(t: Tables) -> DataFrame:
 
 @query("l10_model_comparison")
 def l10(t: Tables) -> DataFrame:
-    models = {"forest": lambda label: learning.forest(label, trees=20), "logistic": learning.logistic}
-    return learning.out_of_fold(_featured(t), "label", models, FOLDS)
+    return learning.out_of_fold(_featured(t), "label", {"boosted": learning.boosted, "forest": learning.forest, "logistic": learning.logistic}, FOLDS)
+
+
+def _fold_scores(guessed: dict[str, DataFrame], name: str) -> DataFrame:
+    """(fold, name, macro_f1, weighted_f1) of out-of-fold predictions (fold, y, yhat) by name."""
+    cells = [df.groupBy("fold", "y", "yhat").agg(F.count(F.lit(1)).alias("n")).withColumn(name, F.lit(key)) for key, df in guessed.items()]
+    return fold_scores(reduce(DataFrame.unionByName, cells), ["fold", name])
 
 
 @query("l12_paradigms")
@@ -101,25 +142,18 @@ def l12(t: Tables) -> DataFrame:
     ruled = (rule_field(F.col("text")) != "other").cast("int")
     approaches = {
         "char_tfidf": _char_guessed(t),
-        "features": _guessed(_featured(t), lambda label: learning.forest(label, trees=20)),
+        "features": _guessed(_featured(t), learning.boosted),
         "rules": _labelled(t).select("fold", F.col("label").cast("int").alias("y"), ruled.alias("yhat")),
     }
-    rows = [
-        macro_f1(guessed.where(F.col("fold") == k).select("y", "yhat")).select(F.lit(k).alias("fold"), F.lit(name).alias("approach"), "macro_f1")
-        for name, guessed in approaches.items() for k in FOLDS
-    ]
-    return reduce(DataFrame.unionByName, rows)
+    return _fold_scores(approaches, "approach").select("fold", "approach", "macro_f1")
 
 
 @query("l13_ablation")
 def l13(t: Tables) -> DataFrame:
     held = _featured(t).drop("features")
-    out = None
-    for name, dropped in {"baseline": set(), "no_sizes": {"n_chars", "n_words", "n_lines"}, "no_ratios": {"alpha", "digits"}}.items():
-        kept = learning.assembled(held, [f for f in FEATURES if f not in dropped])
-        rows = learning.out_of_fold(kept, "label", {name: learning.logistic}, FOLDS)
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    kept = {"baseline": set(), "no_sizes": {"n_chars", "n_words", "n_lines"}, "no_ratios": {"alpha", "digits"}}
+    guessed = {name: _guessed(learning.assembled(held, [f for f in FEATURES if f not in dropped]), learning.boosted) for name, dropped in kept.items()}
+    return _fold_scores(guessed, "model").select("fold", "model", "macro_f1", "weighted_f1")
 
 
 @query("l14_origin_report")
@@ -137,49 +171,40 @@ def l15(t: Tables) -> DataFrame:
     return guessed.select("doc_id", F.col("yhat").alias("readable"))
 
 
+#: Trials of the search, and folds within the training rows; its seed.
+TRIALS, INNER, SEED = 5, 3, 42
+
+
+def trials(n: int = TRIALS, seed: int = SEED) -> list[dict[str, float]]:
+    """Points of the five-parameter space, drawn at random; the learning rate evenly by its logarithm. Trees have no
+    bound on their leaves here, so that parameter bounds their depth once more."""
+    rng = random.Random(seed)
+    drawn = lambda: (rng.randint(50, 150), rng.randint(3, 7), math.exp(rng.uniform(math.log(0.05), math.log(0.2))), rng.randint(15, 40), rng.randint(10, 30))
+    return [dict(zip(("rounds", "depth", "rate", "leaves", "least_rows"), drawn(), strict=True)) for _ in range(n)]
+
+
 @query("l16_tuning")
 def l16(t: Tables) -> DataFrame:
-    held = learning.balanced_weight(_featured(t), "label")
-    forest = learning.forest("label", trees=10)
-    grid = ParamGridBuilder().addGrid(forest.maxDepth, [3, 5]).addGrid(forest.numTrees, [5, 10]).build()
-    score = MulticlassClassificationEvaluator(labelCol="label", metricName="f1")
-    fitted = CrossValidator(estimator=Pipeline(stages=[forest]), estimatorParamMaps=grid, evaluator=score, numFolds=3, seed=42).fit(held)
-    rows = [(i, float(m)) for i, m in enumerate(fitted.avgMetrics)]
-    return t.spark.createDataFrame(rows, "trial int, f1 double")
-
-
-def _pictures(t: Tables) -> DataFrame:
-    """A 64 x 1 strip of gray for each embedding, as an 8 x 8 image struct."""
-    levels = F.transform("embedding", lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.round((x + 1) * 127).cast("int"))))
-    hexed = F.array_join(F.transform(levels, lambda v: F.lpad(F.hex(v), 2, "0")), "")
-    image = F.struct(F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), F.unhex(hexed).alias("data"))
-    return t.embeddings.select("vec_id", image.alias("image"))
-
-
-@query("i12_image_stats")
-def i12(t: Tables) -> DataFrame:
-    w, h = F.col("image.width"), F.col("image.height")
-    size = [w.alias("width"), h.alias("height"), (w / h).alias("aspect_ratio"), (w < h).alias("is_portrait")]
-    return _pictures(t).select("vec_id", *size, images.image_stats(F.col("image")).alias("s")).select("vec_id", "width", "height", "aspect_ratio", "is_portrait", "s.*")
-
-
-def _kinds_of_pictures(t: Tables) -> DataFrame:
-    """(vec_id, image): the strip of each embedding, repeated, as one of six images: gray, BGRA, BGR, two channels, a side
-    under ten pixels, and one longer than 1600."""
-    sizes = [(12, 64, 1), (12, 16, 4), (16, 16, 3), (16, 24, 2), (8, 96, 1), (12, 1664, 1)]
-    data = F.col("image.data")
-    kind = lambda h, w, c: F.struct(F.lit(h).alias("height"), F.lit(w).alias("width"), F.lit(c).alias("nChannels"), F.unhex(F.repeat(F.hex(data), F.lit(h * w * c // 64))).alias("data"))
-    k = F.col("vec_id") % len(sizes)
-    return _pictures(t).select("vec_id", F.coalesce(*[F.when(k == i, kind(*size)) for i, size in enumerate(sizes)]).alias("image"))
-
-
-@query("s4_image_prep")
-def s4(t: Tables) -> DataFrame:
-    return _kinds_of_pictures(t).select("vec_id", images.prepared_size(F.col("image"), 1600).alias("s")).select("vec_id", "s.*")
-
-
-@query("i7_perspective_warp")
-def i7(t: Tables) -> DataFrame:
-    point = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
-    corners = F.array(point(1.0, 0.0), point(6.0, 1.0), point(6.0, 5.0), point(1.0, 4.0))
-    return _pictures(t).select("vec_id", images.warped_stats(F.col("image"), corners, F.lit(6), F.lit(4)).alias("s")).select("vec_id", "s.*")
+    """(fold, trial, parameters, macro_f1): for each outer fold, the inner cross-validated score of each trial on its
+    training rows. The search is random instead of guided: the guided sampler isn't to be had here."""
+    held = _featured(t).withColumn("inner", F.pmod(F.xxhash64("doc_id"), F.lit(INNER)).cast("int")).cache()
+    held.count()
+    spark = t.spark
+
+    def scored(job: tuple[int, int, dict[str, float], int]) -> list[tuple]:
+        outer, nth, point, inner = job
+        train = held.where((F.col("fold") != outer) & (F.col("inner") != inner))
+        test = held.where((F.col("fold") != outer) & (F.col("inner") == inner))
+        booster = learning.boosted("label", point["rounds"], min(point["depth"], math.ceil(math.log2(point["leaves"]))))
+        booster = booster.setStepSize(point["rate"]).setMinInstancesPerNode(point["least_rows"])
+        guessed = booster.fit(learning.balanced_weight(train, "label").coalesce(1)).transform(test)
+        cells = confusion(guessed.select(F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("yhat"))).collect()
+        return [(outer, nth, *point.values(), inner, r["y"], r["yhat"], r["n"]) for r in cells]
+
+    jobs = [(outer, nth, point, inner) for outer in FOLDS for nth, point in enumerate(trials()) for inner in range(INNER)]
+    with ThreadPoolExecutor(8) as pool:
+        rows = [row for rows in pool.map(scored, jobs) for row in rows]
+    held.unpersist()
+    keys = ["fold", "trial", "rounds", "depth", "rate", "leaves", "least_rows"]
+    cells = spark.createDataFrame(rows, "fold int, trial int, rounds int, depth int, rate double, leaves int, least_rows int, inner int, y int, yhat int, n long")
+    return fold_scores(cells, [*keys, "inner"]).groupBy(*keys).agg(F.avg("macro_f1").alias("macro_f1"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.functions.text import flag, null_literals
+from tessera.operators.extraction import country_of
 from tessera.plans.registry import query
+from tessera.plans.strings import stands, up
 from tessera.sources import tables as io
 from tessera.sources.tables import Tables
 
@@ -19,6 +20,17 @@ def s1(t: Tables) -> DataFrame:
     return io.read_csv(t.spark, path, "n_nationkey int, n_name string, n_regionkey int")
 
 
+@query("s1b_csv_joined", "SELECT o_orderkey, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS day, c_name, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS segment FROM orders JOIN customer ON o_custkey = c_custkey")
+def s1b(t: Tables) -> DataFrame:
+    """Two files of declared types, dates and numbers and nulls among them, read and joined."""
+    left, right = io.scratch(t.spark, "orders-csv"), io.scratch(t.spark, "customer-csv")
+    io.write_csv(t.orders.select("o_orderkey", "o_custkey", "o_totalprice", F.col("o_orderdate").cast("date").alias("day")), left)
+    io.write_csv(t.customer.select("c_custkey", "c_name", F.when(F.col("c_custkey") % 3 > 0, F.col("c_mktsegment")).alias("segment")), right)
+    orders = io.read_csv(t.spark, left, "o_orderkey bigint, o_custkey bigint, o_totalprice double, day date")
+    people = io.read_csv(t.spark, right, "c_custkey bigint, c_name string, segment string")
+    return orders.join(people, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_totalprice", F.date_format("day", "yyyy-MM-dd").alias("day"), "c_name", "segment")
+
+
 @query("s2_csv_repair", "SELECT c_custkey::VARCHAR AS key, c_name AS name, c_mktsegment AS segment, NULL::VARCHAR AS extra FROM customer")
 def s2(t: Tables) -> DataFrame:
     inner = F.concat_ws(",", F.col("c_custkey").cast("string"), F.concat(F.lit('""'), F.col("c_name"), F.lit('""')), F.col("c_mktsegment"))
@@ -26,14 +38,6 @@ def s2(t: Tables) -> DataFrame:
     return io.repaired(lines, "key string, name string, segment string, extra string")
 
 
-@query("s5_exists_probe", """
-SELECT doc_id, CASE WHEN l.quality IS NOT NULL THEN 'cached' WHEN text = '' THEN 'missing' ELSE 'process' END AS state
-FROM documents d LEFT JOIN labels l USING (doc_id)""")
-def s5(t: Tables) -> DataFrame:
-    state = F.when(F.col("quality").isNotNull(), "cached").when(F.col("text") == "", "missing").otherwise("process")
-    return t.documents.join(t.labels, "doc_id", "left").select("doc_id", state.alias("state"))
-
-
 @query("s6_cache_merge", """
 SELECT o_orderkey, o_totalprice * 2 AS total FROM orders WHERE o_orderstatus = 'F'
 UNION ALL SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus <> 'F'""")
@@ -139,11 +143,14 @@ WITH n AS (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) AS rn FR
 r AS (SELECT r_name, sum(len) OVER (ORDER BY r_regionkey) - len AS low, sum(len) OVER (ORDER BY r_regionkey) AS high FROM (SELECT *, 3 + r_regionkey AS len FROM region))
 SELECT n_nationkey, r_name FROM n JOIN r ON rn > low AND rn <= high""")
 def p9(t: Tables) -> DataFrame:
-    ranked = t.nation.select("n_nationkey", F.row_number().over(Window.orderBy("n_nationkey")).alias("rn"))
-    runs = t.region.withColumn("len", F.col("r_regionkey") + 3)
-    runs = runs.withColumn("high", F.sum("len").over(Window.orderBy("r_regionkey")))
-    runs = runs.select("r_name", F.explode(F.sequence(F.col("high") - F.col("len") + 1, F.col("high"))).alias("rn"))
-    return ranked.withColumn("rn", F.col("rn").cast("bigint")).join(runs, "rn").select("n_nationkey", "r_name")
+    """Sorted files meet a list of runs of countries: the n-th file belongs to the run that its number falls in. Runs are
+    few, files many: files are numbered part by part, and runs broadcast with the numbers they cover."""
+    ranked = io.numbered(t.nation.select("n_nationkey"), ["n_nationkey"], "rn")
+    runs = io.numbered(t.region.select("r_regionkey", "r_name", (F.col("r_regionkey") + 3).alias("len")), ["r_regionkey"], "nth")
+    before = runs.alias("a").join(F.broadcast(runs.select(F.col("nth").alias("other"), F.col("len").alias("length")).alias("b")), F.col("other") < F.col("nth"), "left")
+    low = before.groupBy("r_name", "len").agg(F.coalesce(F.sum("length"), F.lit(0)).alias("low"))
+    on = (F.col("rn") >= F.col("low")) & (F.col("rn") < F.col("low") + F.col("len"))
+    return ranked.join(F.broadcast(low), on).select("n_nationkey", "r_name")
 
 
 @query("p10_null_fill", "SELECT doc_id, coalesce(quality, 1) AS quality, coalesce(toxic, 0) AS toxic FROM documents LEFT JOIN labels USING (doc_id)")
@@ -220,15 +227,15 @@ def j8(t: Tables) -> DataFrame:
     return t.customer.drop("c_mktsegment").join(newest, "c_nationkey", "left").select("c_custkey", "c_name", "c_mktsegment")
 
 
-@query("j10_alias_scan", """
-WITH a AS (SELECT * FROM (VALUES (1, 'en', 'THE'), (2, 'de', 'UND'), (3, 'fr', 'EST'), (4, 'es', 'POR')) v(ord, country, alias))
-SELECT doc_id, arg_min(country, ord) AS country FROM
-  (SELECT doc_id, upper(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) AS u FROM documents) JOIN a ON regexp_matches(u, '\\b' || alias || '\\b') GROUP BY doc_id""")
+# Words by which a text's language is told, tried in order.
+SPEECH = (("en", ("THE", "AND")), ("de", ("UND", "DER", "ÜBER")), ("fr", ("EST", "LES", "ÉTÉ")), ("es", ("POR", "LOS", "TAMBIÉN")))
+
+
+@query("j10_alias_scan", f"""
+WITH a AS (SELECT * FROM (VALUES (1, 'en', 'THE|AND'), (2, 'de', 'UND|DER|ÜBER'), (3, 'fr', 'EST|LES|ÉTÉ'), (4, 'es', 'POR|LOS|TAMBIÉN')) v(ord, country, alias))
+SELECT doc_id, arg_min(country, ord) AS country FROM (SELECT doc_id, {up('text')} AS u FROM documents) JOIN a ON regexp_matches(u, replace('{stands('@')}', '@', alias)) GROUP BY doc_id""")
 def j10(t: Tables) -> DataFrame:
-    rules = [("en", "THE"), ("de", "UND"), ("fr", "EST"), ("es", "POR")]
-    u = F.upper(t.seen(F.col("text")))
-    found = F.coalesce(*[F.when(u.rlike(rf"(?U)\b{alias}\b"), F.lit(country)) for country, alias in rules])
-    return t.documents.select("doc_id", found.alias("country")).where("country IS NOT NULL")
+    return t.documents.select("doc_id", country_of(F.upper("text"), SPEECH).alias("country")).where("country IS NOT NULL")
 
 
 @query("j11_fold_rows", "SELECT doc_id, lang FROM documents WHERE doc_id % 5 <> 3")

@@ -1,7 +1,8 @@
 """Text, distance and date functions over lines, turns and rendered dates.
 
-The checking SQL counts bytes where the engine counts characters, so it strips what isn't ASCII first, and so do the
-queries that it checks. Each has a twin, ``<name>_whole``, that runs the same plan over whole texts.
+The checking SQL works on characters, as the engine does, with three helpers: its ``levenshtein`` counts bytes, so
+letters beyond ASCII are swapped one to one for control characters first (``flat``); its ``upper`` keeps the sharp s
+(``up``); and its word boundaries know ASCII only (``stands``).
 """
 
 from __future__ import annotations
@@ -14,33 +15,72 @@ from tessera.functions import dates, distance, text
 from tessera.plans.registry import query
 from tessera.sources.tables import Tables
 
-BARE = "regexp_replace({}, '[^\\x00-\\x7F]', '', 'g')"
 STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 
 
+# Fixed values of the checking SQL: the letters beyond ASCII in the sample tables, and as many control characters
+# that aren't blanks.
+LETTERS = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+CONTROLS = [*range(1, 9), *range(14, 27)]
+# Fixed values of the checking SQL: the word lists again, so that a slip in the engine's shows.
+SQL_ADDRESS = ("JALAN", "JLN", "LORONG", "LRG", "KAMPUNG", "KG", "NO.", "NO ", "TAMAN", "TMN", "PERSIARAN", "LEBUH", "BATU", "TINGKAT", "BLOK")
+SQL_STATES = (
+    "JOHOR", "KEDAH", "KELANTAN", "MELAKA", "NEGERI SEMBILAN", "PAHANG", "PERAK", "PERLIS", "PULAU PINANG", "SABAH", "SARAWAK", "SELANGOR",
+    "TERENGGANU", "KUALA LUMPUR", "LABUAN", "PUTRAJAYA", "W. PERSEKUTUAN", "KL", "SBH", "SWK", "PNG", "TRG", "PHG",
+)
+SQL_PATRONYMICS = ("BIN ", "BINTI ", "A/L ", "A/P ")
+SQL_CARD = ("MYKAD", "KAD PENGENALAN", "WARGANEGARA")
+SQL_RULE_ADDRESS = ("JALAN", "JLN", "LORONG", "LRG", "KAMPUNG", "KG", "TAMAN", "TMN", "SELANGOR", "JOHOR", "PERAK", "SABAH", "SARAWAK", "KUALA LUMPUR")
+SQL_NAME_NOISE = ("NAMA:", "NAME:", "NAMA", "NAME", "PENUH", "FULL")
+SQL_NAME_WORDS = ("WARGANEGARA", "MALAYSIA", "LELAKI", "PEREMPUAN", "ISLAM", "MYKAD", "KAD", "PENGENALAN")
+SQL_ADDRESS_NOISE = ("ALAMAT:", "ADDRESS:", "ALAMAT", "ADDRESS")
+SQL_SHORT = (("JLN", "JALAN"), ("LRG", "LORONG"), ("KG", "KAMPUNG"), ("TMN", "TAMAN"), ("PKR", "PERAK"))
+SQL_LABELS = (
+    "NOMBRES", "APELLIDOS", "NOM", "PRENOM", "COGNOME", "NOME", "SOBRENOME", "FAMILIENNAME", "VORNAME", "IMIE", "NAZWISKO", "IME", "PREZIME",
+    "CHILENA", "BRASILEIRO", "ALGERIENNE",
+)
+
+
 def sql_words(x: str) -> str:
     return f"list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> '')"
 
 
+def up(x: str) -> str:
+    return f"upper(replace({x}, 'ß', 'SS'))"
+
+
+def flat(x: str) -> str:
+    return f"translate({x}, '{LETTERS}', {' || '.join(f'chr({i})' for i in CONTROLS)})"
+
+
+def edits(x: str, y: str) -> str:
+    return f"levenshtein({flat(x)}, {flat(y)})"
+
+
+def stands(word: str) -> str:
+    """Pattern of a whole word, to be searched for in either case."""
+    return f"(?i)(^|[^\\p{{L}}\\p{{N}}_])({word})($|[^\\p{{L}}\\p{{N}}_])"
+
+
 def lines(t: Tables) -> DataFrame:
     """(doc_id, seg_idx, text): the lines of each document."""
-    parts = F.split(t.seen(F.col("text")), "\n")
+    parts = F.split("text", "\n")
     return t.documents.select("doc_id", F.posexplode(parts).alias("seg_idx", "text"))
 
 
-LINES = f"""l AS (SELECT doc_id, unnest(range(len(s)))::INT AS seg_idx, unnest(s) AS text
-  FROM (SELECT doc_id, string_split({BARE.format('text')}, chr(10)) AS s FROM documents))"""
+LINES = """l AS (SELECT doc_id, unnest(range(len(s)))::INT AS seg_idx, unnest(s) AS text
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))"""
 
 
 def turns(t: Tables) -> DataFrame:
     """(conv_id, turn, role, hyp, ref): each turn and the next one of its conversation."""
     order = Window.partitionBy("conv_id").orderBy("turn")
-    own = t.conversations.select("conv_id", "turn", "role", t.seen(F.col("text")).alias("hyp"))
+    own = t.conversations.select("conv_id", "turn", "role", F.col("text").alias("hyp"))
     return own.withColumn("ref", F.lead("hyp").over(order)).where("ref IS NOT NULL")
 
 
-TURNS = f"""p AS (SELECT * FROM (SELECT conv_id, turn, role, {BARE.format('text')} AS hyp,
-  lead({BARE.format('text')}) OVER (PARTITION BY conv_id ORDER BY turn) AS ref FROM conversations) WHERE ref IS NOT NULL)"""
+TURNS = """p AS (SELECT * FROM (SELECT conv_id, turn, role, text AS hyp,
+  lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS ref FROM conversations) WHERE ref IS NOT NULL)"""
 
 
 def names(t: Tables) -> DataFrame:
@@ -58,7 +98,7 @@ def _fold(x: str) -> str:
     return f"lower({STRIP.format(x)})"
 
 
-@query("f1_normalize")
+@query("f1_normalize", f"SELECT conv_id, turn, lower({STRIP.format('nfc_normalize(text)')}) AS norm FROM conversations")
 def f1(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", distance.compatible(F.col("text")).alias("norm"))
 
@@ -69,14 +109,14 @@ def f2(t: Tables) -> DataFrame:
 
 
 @query("f3_cer_pairs", f"""WITH {TURNS} SELECT conv_id, turn, CASE WHEN {_fold('ref')} = '' THEN CASE WHEN {_fold('hyp')} = '' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END
-  ELSE levenshtein({_fold('hyp')}, {_fold('ref')}) / length({_fold('ref')})::DOUBLE END AS cer FROM p""")
+  ELSE {edits(_fold('hyp'), _fold('ref'))} / length({_fold('ref')})::DOUBLE END AS cer FROM p""")
 def f3(t: Tables) -> DataFrame:
     return turns(t).select("conv_id", "turn", distance.cer(F.col("hyp"), F.col("ref")).alias("cer"))
 
 
 @query("f4_wer_pairs", f"""WITH {TURNS}, w AS (SELECT conv_id, turn, {sql_words('lower(hyp)')} AS h, {sql_words('lower(ref)')} AS r FROM p)
   SELECT conv_id, turn, CASE WHEN len(r) = 0 THEN CASE WHEN len(h) = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END
-  ELSE levenshtein(array_to_string(h, ' '), array_to_string(r, ' ')) / len(r)::DOUBLE END AS wer FROM w""")
+  ELSE {edits("array_to_string(h, ' ')", "array_to_string(r, ' ')")} / len(r)::DOUBLE END AS wer FROM w""")
 def f4(t: Tables) -> DataFrame:
     return turns(t).select("conv_id", "turn", distance.wer_charlev(F.col("hyp"), F.col("ref")).alias("wer"))
 
@@ -120,10 +160,10 @@ def f8(t: Tables) -> DataFrame:
 
 
 def _overlap_sql(hyp: str, ref: str) -> str:
-    s, r = f"replace(upper({hyp}), ' ', '')", f"replace(upper({ref}), ' ', '')"
-    w, g = sql_words(f"upper({hyp})"), f"list_distinct({sql_words(f'upper({ref})')})"
-    near = f"len(list_filter({g}, lambda y: CASE WHEN length(x) >= 4 THEN levenshtein(x, y) <= 1 ELSE x = y END)) > 0"
-    return f"""CASE WHEN length({r}) >= 4 AND (contains({s}, {r}) OR levenshtein({s}, {r}) <= 2) THEN 1.0::DOUBLE
+    s, r = f"replace({up(hyp)}, ' ', '')", f"replace({up(ref)}, ' ', '')"
+    w, g = sql_words(up(hyp)), f"list_distinct({sql_words(up(ref))})"
+    near = f"len(list_filter({g}, lambda y: CASE WHEN length(x) >= 4 THEN {edits('x', 'y')} <= 1 ELSE x = y END)) > 0"
+    return f"""CASE WHEN length({r}) >= 4 AND (contains({s}, {r}) OR {edits(s, r)} <= 2) THEN 1.0::DOUBLE
   WHEN len({w}) = 0 OR len({g}) = 0 THEN 0.0::DOUBLE ELSE len(list_filter({w}, lambda x: {near})) / len({w})::DOUBLE END"""
 
 
@@ -140,15 +180,15 @@ def j9(t: Tables) -> DataFrame:
     return names(t).select("p_partkey", F.size(near).alias("n_near"))
 
 
-@query("f10_pseudo_cer", f"""WITH {TURNS}, w AS (SELECT conv_id, turn, list_distinct({sql_words('upper(hyp)')}) AS h, list_distinct({sql_words('upper(ref)')}) AS r FROM p)
+@query("f10_pseudo_cer", f"""WITH {TURNS}, w AS (SELECT conv_id, turn, list_distinct({sql_words(up('hyp'))}) AS h, list_distinct({sql_words(up('ref'))}) AS r FROM p)
 SELECT conv_id, turn, CASE WHEN len(r) = 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - len(list_intersect(r, h)) / len(r)::DOUBLE END AS pseudo_cer FROM w""")
 def f10(t: Tables) -> DataFrame:
     return turns(t).select("conv_id", "turn", distance.pseudo_cer(F.col("hyp"), F.col("ref")).alias("pseudo_cer"))
 
 
-@query("f11_token_recall", f"""WITH {TURNS}, w AS (SELECT conv_id, turn, list_distinct({sql_words('upper(hyp)')}) AS h, {sql_words('upper(ref)')} AS r FROM p)
+@query("f11_token_recall", f"""WITH {TURNS}, w AS (SELECT conv_id, turn, list_distinct({sql_words(up('hyp'))}) AS h, {sql_words(up('ref'))} AS r FROM p)
 SELECT conv_id, turn, CASE WHEN len(r) = 0 THEN 0.0::DOUBLE ELSE len(list_filter(r, lambda x: len(list_filter(h, lambda y:
-  CASE WHEN length(x) >= 4 THEN levenshtein(x, y) <= 1 ELSE x = y END)) > 0)) / len(r)::DOUBLE END AS recall FROM w""")
+  CASE WHEN length(x) >= 4 THEN {edits('x', 'y')} <= 1 ELSE x = y END)) > 0)) / len(r)::DOUBLE END AS recall FROM w""")
 def f11(t: Tables) -> DataFrame:
     return turns(t).select("conv_id", "turn", distance.token_recall(F.col("hyp"), F.col("ref")).alias("recall"))
 
@@ -192,12 +232,12 @@ def f13(t: Tables) -> DataFrame:
     return rendered(t).select("o_orderkey", text.has_date(F.col("written")).alias("has_date"))
 
 
-@query("f14_address_word", f"WITH {LINES} SELECT doc_id, seg_idx, {_any('upper(text)', text.ADDRESS_WORDS)} AS has_address_kw FROM l")
+@query("f14_address_word", f"WITH {LINES} SELECT doc_id, seg_idx, {_any(up('text'), SQL_ADDRESS)} AS has_address_kw FROM l")
 def f14(t: Tables) -> DataFrame:
     return lines(t).select("doc_id", "seg_idx", text.has_address_word(F.col("text")).alias("has_address_kw"))
 
 
-@query("f15_state", f"WITH {LINES} SELECT doc_id, seg_idx, {_any('upper(text)', text.STATES)} AS has_state_kw FROM l")
+@query("f15_state", f"WITH {LINES} SELECT doc_id, seg_idx, {_any(up('text'), SQL_STATES)} AS has_state_kw FROM l")
 def f15(t: Tables) -> DataFrame:
     return lines(t).select("doc_id", "seg_idx", text.has_state(F.col("text")).alias("has_state_kw"))
 
@@ -208,28 +248,36 @@ def f16(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", text.has_postcode(written).alias("has_postcode"))
 
 
-@query("f17_patronymic", f"WITH {LINES} SELECT doc_id, seg_idx, {_any('upper(text)', text.PATRONYMICS)} AS has_bin_binti FROM l")
+@query("f17_patronymic", f"WITH {LINES} SELECT doc_id, seg_idx, {_any(up('text'), SQL_PATRONYMICS)} AS has_bin_binti FROM l")
 def f17(t: Tables) -> DataFrame:
     return lines(t).select("doc_id", "seg_idx", text.has_patronymic(F.col("text")).alias("has_bin_binti"))
 
 
-@query("f18_ratios", f"""WITH {LINES} SELECT doc_id, seg_idx, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / greatest(length(text), 1)::DOUBLE AS alpha_ratio,
-  length(regexp_replace(text, '[^0-9]', '', 'g')) / greatest(length(text), 1)::DOUBLE AS digit_ratio FROM l""")
+@query("f18_ratios", f"""WITH {LINES} SELECT doc_id, seg_idx, length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) / greatest(length(text), 1)::DOUBLE AS alpha_ratio,
+  length(regexp_replace(text, '[^\\p{{Nd}}²³¹⁰-⁹₀-₉]', '', 'g')) / greatest(length(text), 1)::DOUBLE AS digit_ratio FROM l""")
 def f18(t: Tables) -> DataFrame:
     return lines(t).select("doc_id", "seg_idx", text.alpha_ratio(F.col("text")).alias("alpha_ratio"), text.digit_ratio(F.col("text")).alias("digit_ratio"))
 
 
 @query("f19_lengths", f"""WITH {LINES} SELECT doc_id, seg_idx, length(text)::INT AS text_len, len({sql_words('text')})::INT AS word_count,
-  (text = upper(text) AND text <> lower(text))::INT AS is_all_caps FROM l""")
+  (text = {up('text')} AND text <> lower(text))::INT AS is_all_caps FROM l""")
 def f19(t: Tables) -> DataFrame:
     c = F.col("text")
     return lines(t).select("doc_id", "seg_idx", F.length(c).alias("text_len"), text.word_count(c).alias("word_count"), text.is_all_caps(c).alias("is_all_caps"))
 
 
-@query("f20_origin_features", f"""WITH {LINES} SELECT doc_id, {_any("upper(string_agg(text, ' ' ORDER BY seg_idx))", text.CARD_WORDS)} AS has_mykad_keyword,
-  regexp_matches(upper(string_agg(text, ' ' ORDER BY seg_idx)), '\\b\\d{{12}}\\b|\\b\\d{{6}}-\\d{{2}}-\\d{{4}}\\b')::INT AS has_ic_number_pattern,
-  {_any("upper(string_agg(text, ' ' ORDER BY seg_idx))", text.PATRONYMICS)} AS has_bin_binti_any_segment, count(*) AS n_segments, avg(length(text)) AS avg_segment_len FROM l GROUP BY doc_id""")
+JOINED = up("string_agg(text, ' ' ORDER BY seg_idx)")
+
+
+@query("f20_origin_features", f"""WITH {LINES}, j AS (SELECT doc_id, {JOINED} AS u, count(*) AS n_segments, avg(length(text)) AS avg_segment_len FROM l GROUP BY doc_id)
+SELECT doc_id, {_any('u', SQL_CARD)} AS has_mykad_keyword, regexp_matches(u, '{stands('\\d{12}|\\d{6}-\\d{2}-\\d{4}')}')::INT AS has_ic_number_pattern,
+  {_any('u', SQL_PATRONYMICS)} AS has_bin_binti_any_segment, n_segments, avg_segment_len FROM j""")
 def f20(t: Tables) -> DataFrame:
+    return origin_features(t)
+
+
+def origin_features(t: Tables) -> DataFrame:
+    """Signs of the home country in all lines of a document, joined in order."""
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", "text"))), lambda x: x["text"])
     docs = lines(t).groupBy("doc_id").agg(F.array_join(in_order, " ").alias("joined"), F.count(F.lit(1)).alias("n_segments"), F.avg(F.length("text")).alias("avg_segment_len"))
     c = F.upper("joined")
@@ -246,12 +294,12 @@ def f21(t: Tables) -> DataFrame:
 
 
 RULED = f"""CASE WHEN u = '' THEN 'other' WHEN regexp_matches(u, '\\d{{4}}-\\d{{2}}-\\d{{2}}|\\d{{2}}/\\d{{2}}/\\d{{4}}|^\\d{{4}}$') THEN 'birth_date'
-  WHEN {_any('u', text.RULE_ADDRESS_WORDS)} = 1 THEN 'address'
-  WHEN length(regexp_replace(u, '[^A-Z]', '', 'g')) / greatest(length(u), 1)::DOUBLE > 0.7::DOUBLE AND length(regexp_replace(u, '[^0-9]', '', 'g')) / greatest(length(u), 1)::DOUBLE < 0.1::DOUBLE
+  WHEN {_any('u', SQL_RULE_ADDRESS)} = 1 THEN 'address'
+  WHEN length(regexp_replace(u, '[^\\p{{L}}]', '', 'g')) / greatest(length(u), 1)::DOUBLE > 0.7::DOUBLE AND length(regexp_replace(u, '[^0-9]', '', 'g')) / greatest(length(u), 1)::DOUBLE < 0.1::DOUBLE
     AND length(u) >= 4 THEN 'name' ELSE 'other' END"""
 
 
-@query("f22_regex_classify", f"WITH {LINES} SELECT doc_id, seg_idx, {RULED} AS field FROM (SELECT *, upper({STRIP.format('text')}) AS u FROM l)")
+@query("f22_regex_classify", f"WITH {LINES} SELECT doc_id, seg_idx, {RULED} AS field FROM (SELECT *, {up(STRIP.format('text'))} AS u FROM l)")
 def f22(t: Tables) -> DataFrame:
     return lines(t).select("doc_id", "seg_idx", text.rule_field(F.col("text")).alias("field"))
 
@@ -266,18 +314,18 @@ def _squeezed(x: str) -> str:
     return STRIP.format(f"regexp_replace({x}, '\\s+', ' ', 'g')")
 
 
-@query("f23_normalize_name", f"""WITH {LINES} SELECT doc_id, seg_idx, {_squeezed(f"regexp_replace(regexp_replace({_replaced('upper(' + STRIP.format('text') + ')', text.NAME_NOISE)}, '[^A-Z /\\-]', ' ', 'g'), '\\b({'|'.join(text.NAME_NOISE_WORDS)})\\b', '', 'g')")} AS name FROM l""")
+@query("f23_normalize_name", f"""WITH {LINES} SELECT doc_id, seg_idx, {_squeezed(f"regexp_replace(regexp_replace({_replaced(up(STRIP.format('text')), SQL_NAME_NOISE)}, '[^A-Z /\\-]', ' ', 'g'), '\\b({'|'.join(SQL_NAME_WORDS)})\\b', '', 'g')")} AS name FROM l""")
 def f23(t: Tables) -> DataFrame:
     return lines(t).select("doc_id", "seg_idx", text.normalize_name(F.col("text")).alias("name"))
 
 
 def _spelled(x: str) -> str:
-    for short, long in text.ABBREVIATIONS:
+    for short, long in SQL_SHORT:
         x = f"regexp_replace({x}, '\\b{short}\\b', '{long}', 'g')"
     return x
 
 
-@query("f24_normalize_address", f"SELECT c_custkey, {_squeezed(_spelled(_replaced('''upper('alamat: Jln ' || c_mktsegment || ', Kg  ' || c_name)''', text.ADDRESS_NOISE)))} AS address FROM customer")
+@query("f24_normalize_address", f"SELECT c_custkey, {_squeezed(_spelled(_replaced('''upper('alamat: Jln ' || c_mktsegment || ', Kg  ' || c_name)''', SQL_ADDRESS_NOISE)))} AS address FROM customer")
 def f24(t: Tables) -> DataFrame:
     raw = F.concat(F.lit("alamat: Jln "), F.col("c_mktsegment"), F.lit(", Kg  "), F.col("c_name"))
     return t.customer.select("c_custkey", text.normalize_address(raw).alias("address"))
@@ -315,7 +363,7 @@ def labelled() -> Column:
     return F.concat(F.when(k == 0, "NOMBRES: ").when(k == 1, "Prenom ").otherwise(""), F.col("c_mktsegment"), F.lit(" "), F.col("c_name"))
 
 
-@query("f28_label_words", f"""SELECT c_custkey, array_to_string(list_filter({sql_words(LABELLED)}, lambda w: upper(rtrim(w, ':')) NOT IN ({', '.join(f"'{w}'" for w in text.LABEL_WORDS)})), ' ') AS name FROM customer""")
+@query("f28_label_words", f"""SELECT c_custkey, array_to_string(list_filter({sql_words(LABELLED)}, lambda w: upper(rtrim(w, ':')) NOT IN ({', '.join(f"'{w}'" for w in SQL_LABELS)})), ' ') AS name FROM customer""")
 def f28(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", text.drop_label_words(labelled()).alias("name"))
 

@@ -2,31 +2,31 @@
 
 from __future__ import annotations
 
+import os
+import struct
 import tempfile
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tessera.functions.text import ascii_only, strip
+from tessera.functions.text import strip
 
 
 @dataclass(frozen=True)
 class Tables:
-    """The Parquet tables of a folder, as attributes. ``whole`` is False where SQL that strips texts checks a query."""
+    """The Parquet tables of a folder, as attributes."""
 
     spark: SparkSession
     folder: str
-    whole: bool = False
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def seen(self, text: Column) -> Column:
-        """The text as queries see it: whole, or its ASCII characters alone, as the checking SQL has it."""
-        return text if self.whole else ascii_only(text)
-
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share; a temporary one only where none is set."""
@@ -80,6 +80,18 @@ def merged(cache: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
     return cache.join(fresh.select(*keys).distinct(), keys, "left_anti").unionByName(fresh)
 
 
+def numbered(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Rows numbered from 0 in the order of ``by``, without bringing them together: they are sorted into ranges and
+    written, each is numbered within its range, and the sizes of the ranges, one row each, are summed up."""
+    path = scratch(df.sparkSession, "sorted")
+    place = F.monotonically_increasing_id()
+    df.orderBy(*by).withColumns({"_range": F.shiftright(place, 33), name: place.bitwiseAND((1 << 33) - 1)}).write.parquet(path)
+    held = df.sparkSession.read.parquet(path)
+    sizes = held.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")
+    return held.join(F.broadcast(sizes.select("_range", before.alias("_before"))), "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
+
+
 def sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """``n`` rows, the same in each run, by a hash of the key."""
     return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
@@ -91,6 +103,37 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return images.select(F.element_at(F.split("image.origin", "/"), -1).alias("filename"), "image")
 
 
+def write_images(images: DataFrame, path: str) -> None:
+    """Write (filename, image) rows as bitmap files, one each, into a folder that all executors share; a null image gives a
+    file that can't be decoded. A task that is run again writes the same files."""
+    if "://" in path.replace("file://", "", 1):
+        raise ValueError("images are written to a folder of a file system, not to a remote store")
+    folder = path.removeprefix("file://").removeprefix("file:")
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.makedirs(folder, exist_ok=True)
+        for frame in frames:
+            for name, h, w, channels, data in frame.itertuples(index=False):
+                part = f"{folder}/.{name}-{uuid.uuid4().hex}"
+                with open(part, "wb") as file:
+                    file.write(bitmap(h, w, channels, data) if data is not None else b"no image")
+                os.replace(part, f"{folder}/{name}")
+            yield frame[["filename"]]
+
+    columns = images.select("filename", *[F.coalesce(f"image.{c}", F.lit(0)).alias(c) for c in ("height", "width", "nChannels")], "image.data")
+    columns.mapInPandas(write, "filename string").write.format("noop").mode("overwrite").save()
+
+
+def bitmap(height: int, width: int, channels: int, data: bytes) -> bytes:
+    """A picture of one or three channels, blue first, as an uncompressed bitmap file of 24 bits a pixel."""
+    if channels == 1:
+        data = b"".join(bytes([v]) * 3 for v in data)
+    rows = [data[i * width * 3 : (i + 1) * width * 3].ljust(-(-width * 3 // 4) * 4, b"\0") for i in range(height)]
+    body = b"".join(reversed(rows))
+    head = struct.pack("<2sIHHI", b"BM", 54 + len(body), 0, 0, 54)
+    return head + struct.pack("<IiiHHIIiiII", 40, width, height, 1, 24, 0, len(body), 2835, 2835, 0, 0) + body
+
+
 def probe_files(spark: SparkSession, path: str) -> DataFrame:
     """(filename, modificationTime, length) of the files below a path."""
     files = spark.read.format("binaryFile").load(path)

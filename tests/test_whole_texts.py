@@ -48,18 +48,18 @@ def pairs():
 
 
 def test_lengths_and_ratios(spark, folder):
-    got = {(r.doc_id, r.seg_idx): (r.text_len, r.word_count, r.is_all_caps) for r in run(spark, folder, "f19_lengths_whole")}
+    got = {(r.doc_id, r.seg_idx): (r.text_len, r.word_count, r.is_all_caps) for r in run(spark, folder, "f19_lengths")}
     assert got == {k: (len(x), len(x.split()), int(x.isupper())) for k, x in lines().items()}
-    got = {(r.doc_id, r.seg_idx): (r.alpha_ratio, r.digit_ratio) for r in run(spark, folder, "f18_ratios_whole")}
+    got = {(r.doc_id, r.seg_idx): (r.alpha_ratio, r.digit_ratio) for r in run(spark, folder, "f18_ratios")}
     share = lambda x, kind: pytest.approx(sum(kind(c) for c in x) / max(len(x), 1))
     assert got == {k: (share(x, str.isalpha), share(x, str.isdigit)) for k, x in lines().items()}
 
 
 def test_error_rates(spark, folder):
     fold = lambda x: x.strip().lower()
-    got = {(r.conv_id, r.turn): r.cer for r in run(spark, folder, "f3_cer_pairs_whole")}
+    got = {(r.conv_id, r.turn): r.cer for r in run(spark, folder, "f3_cer_pairs")}
     assert got == {k: pytest.approx(edits(fold(h), fold(r)) / len(fold(r))) for k, (h, r) in pairs().items()}
-    got = {(r.conv_id, r.turn): r.wer for r in run(spark, folder, "f4_wer_pairs_whole")}
+    got = {(r.conv_id, r.turn): r.wer for r in run(spark, folder, "f4_wer_pairs")}
     assert got == {k: pytest.approx(edits(" ".join(fold(h).split()), " ".join(fold(r).split())) / len(r.split())) for k, (h, r) in pairs().items()}
 
 
@@ -72,7 +72,7 @@ def test_overlap(spark, folder):
         near = lambda x: any(edits(x, y) <= 1 if len(x) >= 4 else x == y for y in r.split())
         return sum(map(near, s.split())) / len(s.split())
 
-    got = {(r.conv_id, r.turn): r.overlap for r in run(spark, folder, "f9_token_overlap_whole")}
+    got = {(r.conv_id, r.turn): r.overlap for r in run(spark, folder, "f9_token_overlap")}
     assert got == {k: pytest.approx(overlap(*p)) for k, p in pairs().items()}
 
 
@@ -81,16 +81,16 @@ def test_words_end_at_unicode_letters(spark, folder):
         return {d: next((i for i, w in enumerate(words) if re.search(rf"\b{w}\b", text, re.I)), None) for d, text, _ in DOCS}
 
     langs, found = ["en", "de", "fr", "es"], first(["the", "und", "est", "por"])
-    assert {r.doc_id: r.country for r in run(spark, folder, "j10_alias_scan_whole")} == {d: langs[i] for d, i in found.items() if i is not None}
+    assert {r.doc_id: r.country for r in run(spark, folder, "j10_alias_scan")} == {d: langs[i] for d, i in found.items() if i is not None}
     found = first(["the", "und", "qui", "por"])
     want = sorted((langs.index(lang), 4 if found[d] is None else found[d]) for d, _, lang in DOCS)
-    assert sorted((r.y, r.yhat) for r in run(spark, folder, "a20_confusion_whole") for _ in range(r.n)) == want
+    assert sorted((r.y, r.yhat) for r in run(spark, folder, "a20_confusion") for _ in range(r.n)) == want
 
 
 def test_number_before_a_hard_space(spark, folder):
     numbered = {(d, i): f"{1 + d % 9}{'a. ' if i % 2 == 0 else '.'}{x}".strip() for (d, i), x in lines().items()}
     match = lambda x: (re.match(r"^(\d[a-c]?)\.?\s+(.*)", x) or [""] * 2)[1]
-    assert {(r.doc_id, r.seg_idx): r.field for r in run(spark, folder, "x11_numbered_fields_whole")} == {k: match(x) for k, x in numbered.items()}
+    assert {(r.doc_id, r.seg_idx): r.field for r in run(spark, folder, "x11_numbered_fields")} == {k: match(x) for k, x in numbered.items()}
 
 
 def test_every_stripped_query_has_a_twin(spark, folder):
