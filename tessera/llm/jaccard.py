@@ -1,7 +1,8 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence.
 
 Rows of the incidence are the sorted distinct shingle hashes of a text; equal rows are one class, named by its
-smallest id, before anything is joined. Columns are ordered rarest first, by a hashed count of all incidences.
+smallest id, before anything is joined. Columns are ordered rarest first, by the number of documents in each,
+counted over all documents and told to the blocks of documents that hold them (``counting``).
 If 100 |x & y| >= 85 |x | y|, the first n - ceil(0.85 n) + L columns of both rows share at least L entries, so:
 
 * the product is formed over those prefix columns only, dealt out in blocks by column; a column with a single
@@ -11,28 +12,30 @@ If 100 |x & y| >= 85 |x | y|, the first n - ceil(0.85 n) + L columns of both row
   most others: a number of pairs linear in its rows. What the exact product of these full rows confirms is
   merged into components;
 * then each column contributes the pairs of rows that are still in different components, so that no possible
-  link is lost, while a group of copies never emits all of its pairs.
+  link is lost, while a group of copies never emits all of its pairs. Rows meet within bands of size.
+
+Hot columns are split into parts (``linking``); what a hot class is given back is broadcast.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from tessera.llm import counting
 from tessera.llm.common import chunks, materialize, real_ids, small_batches, whole_ids
 from tessera.llm.components import components
+from tessera.llm.linking import SHARED, STEPS, given_back, links
 
 WIDTH, PERCENT = 4, 85
-#: L above; and the sides of the column count, 2**20 to 2**26 buckets, a bound on what is broadcast.
-SHARED, LEAST_BITS, MOST_BITS, SLICES = 2, 20, 26, 16
+#: Bits by which the hashes that columns are counted under outnumber the incidences; entries in a range of columns, as
+#: a share of a block's.
+SPARE_BITS, COUNT_SHARE = 6, 1.0
 #: Ids that are broadcast at most, 16 MB; more are joined by shuffle.
 FEW_IDS = 2_000_000
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -69,49 +72,41 @@ def needed(n: int, percent: int) -> int:
     return (percent * n + 99) // 100
 
 
-def column_counts(docs: DataFrame, bits: int, width: int) -> np.ndarray:
-    """Logarithm of the number of incidences in each of ``2**bits`` buckets of columns, over all documents.
-    Each task counts for itself; slices of these counts are added up apart."""
-    part = (1 << bits) // SLICES
-
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, cache = np.zeros(1 << bits, np.uint32), WordHashes()
-        for frame in chunks(frames, "text"):
-            held = [shingle_set(t, cache, width) for t in frame["text"]]
-            counts += np.bincount((np.concatenate(held) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
-        yield pd.DataFrame({"slice": range(SLICES), "counts": [zlib.compress(counts[i * part : (i + 1) * part].tobytes(), 1) for i in range(SLICES)]})
-
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(c), np.uint32).astype(np.int64) for c in frame["counts"])
-        return pd.DataFrame({"slice": frame["slice"][:1], "levels": [np.minimum(np.log2(total + 1) * 2, 100).astype(np.uint8).tobytes()]})
+class Rows(counting.Items):
+    """The incidence rows of a block, and its columns with the number of its rows in each. Columns are counted by
+    the upper ``bits`` of their hashes: what they share there is counted together, and only their order hangs on it."""
 
-    found = docs.select("text").mapInPandas(count, "slice int, counts binary").groupBy("slice").applyInPandas(add, "slice int, levels binary").collect()
-    levels = np.zeros(1 << bits, np.uint8)
-    for row in found:
-        levels[row["slice"] * part : (row["slice"] + 1) * part] = np.frombuffer(row["levels"], np.uint8)
-    return levels
+    def __init__(self, frame: pd.DataFrame, cache: WordHashes, width: int, bits: int):
+        self.held = [shingle_set(t, cache, width) for t in frame["text"]]
+        self.sizes = np.array([len(x) for x in self.held], np.int64)
+        upper = np.concatenate(self.held) >> np.uint64(64 - bits)
+        columns, self.at, counts = np.unique(upper, return_inverse=True, return_counts=True)
+        super().__init__([columns], [counts])
 
 
-def incidence(docs: DataFrame, levels: Broadcast, bits: int, width: int, percent: int) -> DataFrame:
+def incidence(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(doc_id, n, k1, k2, columns): the size of each row, a 128-bit hash of it, and its rarest columns in order,
-    as (level, hash) in 64 bits."""
-
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, level = WordHashes(), levels.value
-        for frame in chunks(frames, "text"):
-            out = []
-            for text in frame["text"]:
-                held = shingle_set(text, cache, width)
-                n, least = len(held), needed(len(held), percent)
-                key = np.frombuffer(xxhash.xxh3_128_digest(held.tobytes()), np.int64)
-                order = (level[(held >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (held >> np.uint64(8))
-                order.sort()
-                out.append((n, key[0], key[1], order[: n - least + min(SHARED, least)].view(np.int64)))
-            n, k1, k2, columns = zip(*out, strict=True)
-            yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "n": n, "k1": k1, "k2": k2, "columns": columns})
-
-    kept = whole_ids(docs.select("doc_id", "text")).mapInPandas(rows, "doc_id long, n long, k1 long, k2 long, columns array<long>")
-    return real_ids(kept)
+    as (order, hash) in 64 bits."""
+    held = counting.corpus(whole_ids(counting.numbered(docs.select("doc_id", "text"), "jaccard")))
+    bits = min(63, max(20, held.size.bit_length() + SPARE_BITS - 2))  # a shingle for each four characters at most
+    cache, ranges = WordHashes(), [held.ranges(COUNT_SHARE)]
+    rows_of = lambda frame: Rows(frame, cache, width, bits)
+    answers = counting.totals(held, rows_of, ranges, bits, "columns")
+
+    def rows(frame: pd.DataFrame, block: Rows, counts: list[np.ndarray]) -> pd.DataFrame:
+        rank = np.minimum(np.log2(counts[0]) * STEPS, 255).astype(np.uint64) << np.uint64(56)
+        out, start = [], 0
+        for columns in block.held:
+            n, least = len(columns), needed(len(columns), percent)
+            key = np.frombuffer(xxhash.xxh3_128_digest(columns.tobytes()), np.int64)
+            order = rank[block.at[start : start + n]] | (columns >> np.uint64(8))
+            order.sort()
+            out.append((n, key[0], key[1], order[: n - least + min(SHARED, least)].view(np.int64)))
+            start += n
+        n, k1, k2, columns = zip(*out, strict=True)
+        return pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "n": n, "k1": k1, "k2": k2, "columns": columns})
+
+    return real_ids(counting.applied(held, answers, rows_of, ranges, bits, rows, "doc_id long, n long, k1 long, k2 long, columns array<long>"))
 
 
 def full_rows(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -144,70 +139,22 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return joined.select("a", "b", "x", "y").mapInPandas(product, "a long, b long, overlap long")
 
 
-def possible(pair: list[Column], percent: int) -> tuple[Column, Column]:
-    """For an entry shared at places ``at`` of rows of sizes ``n``: whether both lie in the prefixes that the two
-    sizes allow, and how many entries these prefixes must share. A link needs an overlap of o = ceil(percent (n1
-    + n2) / (100 + percent)); then prefixes of n - o + L entries share L."""
-    n, at, m, to = pair
-    overlap = F.ceil((percent * (n + m)) / F.lit(float(100 + percent)) - F.lit(1e-9))
-    asked = F.least(F.lit(SHARED), overlap)
-    fit = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (at < n - overlap + asked) & (to < m - overlap + asked)
-    return fit, asked
-
-
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: documents link when 100 |x & y| >= ``percent`` |x | y|.
 
     Null or empty texts have size 0 and link with nothing; a null id, having no name, neither. Rows with equal
     ids and texts are one document, given for each row; of an id with several texts, the rows of that id fall
-    together in the component of its smallest. An empty table gives no rows; other columns are ignored."""
-    spark = docs.sparkSession
+    together in the component of its smallest. Very long texts are rows like others, in whole. Ties in the order
+    of columns and of hubs are broken by hash and id. An empty table gives no rows; other columns are ignored."""
     docs = small_batches(docs).select("doc_id", "text")
-    many = docs.count() * 512
-    bits = min(MOST_BITS, max(LEAST_BITS, many.bit_length() - 6))
-    levels = spark.sparkContext.broadcast(column_counts(docs, bits, width))
-    rows = materialize(incidence(docs, levels, bits, width, percent), "incidence")
-
+    rows = materialize(incidence(docs, width, percent), "incidence")
     full = rows.where("n > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     # rows of a class are equal: any of them will do, so a class of very many is summed up where it is read
-    firsts = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("columns").alias("columns"))
-    entries = firsts.select("rep", "n", F.posexplode("columns").alias("at", "column"))
-    by_size = Window.partitionBy("column").orderBy("n", "rep")
-    near = entries.select(
-        "*", F.lag("rep").over(by_size).alias("prev"), F.lag("n").over(by_size).alias("prev_n"), F.lag("at").over(by_size).alias("prev_at"), F.lead("rep").over(by_size).alias("after")
-    )
-    near = materialize(near.where("prev IS NOT NULL OR after IS NOT NULL"), "columns")
-    weight = near.groupBy("rep").agg(F.count(F.lit(1)).alias("weight"))
-    hubs = near.select("column", "rep", "n", "at").join(weight, "rep").groupBy("column").agg(F.max(F.struct("weight", -F.col("rep"), "n", "at")).alias("hub"))
-    stars = near.select("column", "rep", "n", "at").join(hubs, "column").select(
-        "rep", "n", "at", (-F.col("hub.col2")).alias("prev"), F.col("hub.n").alias("prev_n"), F.col("hub.at").alias("prev_at")
-    )
-    tried = near.where("prev IS NOT NULL").select(*stars.columns).union(stars).where("rep <> prev")
-    fit, asked = possible([F.col(c) for c in ("n", "at", "prev_n", "prev_at")], percent)
-    pairs = tried.where(fit).groupBy(F.least("rep", "prev").alias("a"), F.greatest("rep", "prev").alias("b")).agg(
-        F.count(F.lit(1)).alias("shared"), F.min(asked).alias("asked")
-    )
-    pairs = materialize(pairs.where("shared >= asked").select("a", "b"), "pairs")
-    edges = materialize(confirmed(pairs, docs, width, percent).select("a", "b"), "links")
-    merged = components(edges)
-
-    placed = near.select("column", "at", "rep", "n").join(merged, F.col("rep") == F.col("id"), "left")
-    placed = placed.select("column", "at", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy("column").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("column")
-    open_ = materialize(placed.join(mixed, "column"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    fit, asked = possible([F.col(c) for c in ("x.n", "x.at", "y.n", "y.at")], percent)
-    on = (F.col("x.column") == F.col("y.column")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & fit
-    rest = x.join(y, on).groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min(asked).alias("asked"))
-    rest = rest.where("shared >= asked").select("a", "b").join(pairs, ["a", "b"], "left_anti")
-    rest = materialize(rest, "rest")
-    more = materialize(confirmed(rest, docs, width, percent).select("a", "b"), "links") if not rest.isEmpty() else None
-    if more is not None and not more.isEmpty():
-        merged = components(edges.union(more))
-
-    named = classes.join(merged, F.col("rep") == F.col("id"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
-    out = rows.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
+    firsts = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("columns").alias("columns"))
+    firsts = materialize(firsts, "classes")
+    _, merged = links(firsts, percent, lambda pairs: confirmed(pairs, docs, width, percent), components)
+    named = firsts.join(merged, F.col("rep") == F.col("id"), "left").select("k1", "k2", "copies", F.coalesce("component", "rep").alias("component"))
+    out = given_back(rows.select("doc_id", "n", "k1", "k2"), ["k1", "k2"], named, rows.count())
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 

@@ -13,12 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import materialize, n_words, salted_rank, steady
+from tessera.llm.common import materialize, n_words, salted_rank
+from tessera.llm.counting import FILE, NTH, numbered
 
 WEIGHTS = (5, 2, 1)
 SHARE, CAP, SEED = 1.5, 2.0, 41
 #: Names that no column of the input should have.
-ROW, COPY = "__tessera_row", "__tessera_copy"
+PLACE, COPY = (FILE, NTH), "__tessera_copy"
 #: Hexadecimal digits of a hash that make a number from 0 to 1 without rounding.
 DIGITS = 13
 
@@ -35,7 +36,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
         sources, [], [F.col("source")], F.concat(F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.lit("0")), F.substring(F.coalesce("source", F.lit("")), 1, 8)), "_at"
     )
     weigh = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_at") % len(weights) + 1).cast("int"))
-    known = by_name.select("source", "source_size", weigh.alias("_w"), (cap * F.col("source_size")).alias("_cap")).cache()
+    known = by_name.select("source", "source_size", weigh.alias("_w"), (cap * F.col("source_size")).alias("_cap"))
+    known = materialize(known, "sources")
     level = -1.0
     while True:
         full = F.col("_cap") <= F.col("_w") * F.lit(level)
@@ -58,8 +60,8 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
     Null or empty texts have size 0 and take no words; a null source is a source of its own, the last; a
     source without words has target 0; equal rows count each; an empty table gives no rows; other columns of
-    ``docs`` are ignored, but ``ROW``, which is kept."""
-    extra = [c for c in docs.columns if c == ROW]
+    ``docs`` are ignored, but those of ``PLACE``, which are kept."""
+    extra = [c for c in docs.columns if c in PLACE]
     sized = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *extra), "sizes")
     goal = targets(sized)
     digits = F.col("size").cast("string")
@@ -79,10 +81,9 @@ def take(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The rows that the mix takes, with the columns of ``docs``; a row of two copies comes twice. Null and empty
     texts have size 0 and copies like any row of their source, but none in a source without words; equal rows
     count each; an empty table gives no rows."""
-    numbered = steady(docs, "mixing").withColumn(ROW, F.monotonically_increasing_id())
-    chosen = mix(numbered, seed).where("copies > 0").select(F.col(ROW).alias("_at"), F.col("doc_id").alias("_id"), "copies")
-    same = (F.col(f"n.{ROW}") == F.col("c._at")) & F.col("n.doc_id").eqNullSafe(F.col("c._id"))
-    joined = numbered.alias("n").join(chosen.alias("c"), same)
+    placed = numbered(docs, "mixing")
+    chosen = mix(placed, seed).where("copies > 0").select(*PLACE, "copies")
+    joined = placed.alias("n").join(chosen.alias("c"), [F.col(f"n.{p}") == F.col(f"c.{p}") for p in PLACE])
     repeated = joined.withColumn(COPY, F.explode(F.sequence(F.lit(1), F.col("c.copies").cast("int"))))
     return repeated.select(*[F.col(f"n.`{c}`") for c in docs.columns])
 

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tessera.llm import catalog, components, counting, ftrl, jaccard, language, mixing, packing, quality, rules, sharding, spotsigs, substrings, toxicity
+from tessera.llm import catalog, components, counting, ftrl, jaccard, language, linking, mixing, packing, quality, rules, sharding, spotsigs, substrings, toxicity
 from tessera.llm.common import salted_rank
 
 FOLDER = "/root/testdata/sf0.01"
@@ -354,6 +354,44 @@ def test_join_of_a_large_group(spark, monkeypatch, few):
     assert got == plain_components(texts)
 
 
+def copies_of_one_page(rng, n):
+    """Texts of a few words each around a common page: near copies, far copies and a long one."""
+    page = [f"w{i}" for i in range(120)]
+    texts = {}
+    for d in range(n):
+        words = list(page)
+        for i in rng.choice(120, rng.integers(0, 12), replace=False):
+            words[i] = f"n{d}x{i}"
+        texts[d] = " ".join(words)
+    return texts | {n: " ".join(page * 40 + [f"z{i}" for i in range(3000)])} | {n + 1 + i: texts[i] for i in range(30)}
+
+
+@pytest.mark.parametrize("part_rows", [4, 30])
+def test_hot_columns_and_classes_are_split(spark, monkeypatch, part_rows):
+    """Parts of hot columns, and classes given back by broadcast, lose no link."""
+    monkeypatch.setattr(linking, "PART_ROWS", part_rows)
+    texts = copies_of_one_page(np.random.default_rng(12), 120) | {500 + i: f"a b c d e f g h k{i}" for i in range(40)}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == plain_components(texts)
+
+
+def test_columns_cost_no_more_for_a_larger_corpus():
+    """A block's columns are counted in memory of its own size, however many bits their hashes have."""
+    frame = pd.DataFrame({"text": list(copies_of_one_page(np.random.default_rng(13), 50).values())})
+    few, many = (jaccard.Rows(frame, jaccard.WordHashes(), 4, bits) for bits in (24, 60))
+    assert few.own[0].sum() == many.own[0].sum() and len(few.keys[0]) == pytest.approx(len(many.keys[0]), rel=0.01)
+    assert many.keys[0].nbytes + many.own[0].nbytes + many.at.nbytes < 40 * frame["text"].str.len().sum()
+
+
+def test_size_bands_hold_all_links():
+    sizes = np.arange(1, 3000)
+    for percent in (80, 85):
+        band = np.floor(np.log(sizes) / (-1.001 * math.log(percent / 100))).astype(int)
+        for n in sizes[:2000]:
+            linked = sizes[(sizes >= n) & (100 * n >= percent * sizes)]
+            assert (band[linked - 1] - band[n - 1] <= 1).all()
+
+
 def test_components_by_stars(spark):
     rng = np.random.default_rng(9)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(1000 + i, 1001 + i) for i in range(100)]
@@ -463,9 +501,9 @@ def test_long_texts_are_walked_in_stretches(docs, monkeypatch):
         assert automaton.score(grams) == pytest.approx(whole)
 
 
-def test_blocks_grow_with_the_root_of_the_corpus():
-    rows = [counting.Corpus(None, 0, size).ranges() * size / counting.Corpus(None, 0, size).block for size in (10**9, 10**11, 10**13)]
-    assert rows[0] < rows[1] < 200 * rows[0] and rows[2] == pytest.approx(100 * rows[1], rel=0.01)
+def test_block_rows_stay_in_proportion_to_the_corpus():
+    rows = lambda size: (size / counting.Corpus(None, 0, size).block) * counting.Corpus(None, 0, size).ranges()
+    assert [rows(100 * size) / rows(size) for size in (10**10, 10**12)] == pytest.approx([100, 100], rel=0.01)
 
 
 # Packing
