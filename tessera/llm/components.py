@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize
@@ -49,18 +49,38 @@ def _stars(edges: DataFrame) -> DataFrame:
     return small.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _mark(df: DataFrame) -> Row:
+    return df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+
+
+def _members(now: DataFrame) -> DataFrame:
+    members = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    return members.union(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+
+
+def components_by_stars(edges: DataFrame, few: int = 0) -> DataFrame:
+    """(id, component) of every id in ``edges`` (a, b), by rounds of stars alone, until nothing changes."""
+    now = materialize(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    seen = _mark(now)
+    while seen["n"] > few:
+        now = materialize(_stars(now), "edges")
+        new = _mark(now)
+        if new == seen:
+            break
+        seen = new
+    return _members(now)
+
+
 def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     """(id, component) of every id in ``edges`` (a, b); the component is its smallest id."""
     now = materialize(edges.select("a", "b").where("a <> b").mapInPandas(_contract, "a long, b long"), "edges")
-    mark = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-    seen = mark(now)
+    seen = _mark(now)
     while seen["n"] > few:
         now = materialize(_stars(now), "edges")
-        new = mark(now)
+        new = _mark(now)
         if new == seen:
             break
         seen = new
     else:
         now = materialize(now.repartition(1).mapInPandas(_contract, "a long, b long"), "edges")
-    members = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return members.union(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    return _members(now)

@@ -3,19 +3,19 @@
 A common word (anchor) right before a content word opens a chain: the anchor and the next content words, common
 words between them skipped. The text's start is an anchor too. A text's signatures are the distinct chain
 hashes; a text without any content word has the hash of the whole text as its only one. Fingerprints are
-compared by Jaccard, after the bound that their lengths set; ``near_pairs`` partitions sets by length, so that
-only neighbouring lengths meet, and within these by their rarest-ordered prefix.
+compared by Jaccard, after the bound that their lengths set. Near copies meet under the rarest signatures of their sets,
+partitioned by length, so that only neighbouring lengths meet (``linking``).
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import bound
+from tessera.llm.common import bound, materialize
+from tessera.llm.components import components_by_stars
+from tessera.llm.linking import SHARED, STEPS, given_back, links, size_band
 
 # Common words of English, German, French and Spanish and the cell mark of tables, the anchors.
 ANCHORS = (
@@ -27,8 +27,10 @@ ANCHORS = (
     "al como con del el ella en entre era es esta este fue ha la las lo los más muy no o para pero por que se ser si sin su sus un una y ya"
 ).split()
 WORD = r"[\p{L}\p{N}]+|\|"
-#: Content words in a chain; most rows of a group of neighbouring ids; most such groups, which bounds the broadcast.
-CHAIN, GROUP_ROWS, MOST_GROUPS = 2, 2_000, 1_000_000
+#: Content words in a chain; rows of a group of neighbouring ids; most such groups, which bounds what is broadcast.
+CHAIN, GROUP_ROWS, MOST_GROUPS = 2, 2_000, 65_536
+#: Likeness of near copies in hundredths; buckets that signatures are counted in; ids that are broadcast at most, 16 MB.
+PERCENT, BUCKETS, FEW_IDS = 80, 1 << 16, 1_000_000
 
 
 def signatures(text: Column, chain: int = CHAIN) -> Column:
@@ -70,56 +72,132 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
     return F.when(small < F.lit(least) * large, F.lit(0.0)).otherwise(both / (F.size(a) + F.size(b) - both)).cast("double")
 
 
+def _every(values: DataFrame, rows: int) -> list[int]:
+    """Every so many of the sorted numbers in a column ``v``, and the first of each sorted range."""
+    nth = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    return sorted({r["v"] for r in values.orderBy("v").withColumn("_nth", nth).where(F.col("_nth") % rows == 0).collect()})
+
+
+def _under(x: Column, cuts: list[int]) -> Column:
+    """How many of ``cuts`` are at most x, by halving."""
+    if not cuts:
+        return F.lit(0)
+    table = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high"))
+
+    def step(acc: Column, _: Column) -> Column:
+        low, high = acc["low"], acc["high"]
+        middle = F.shiftright(low + high, 1)
+        below = F.get(table, middle) <= x
+        return F.struct(F.when((low < high) & below, middle + 1).otherwise(low).alias("low"), F.when((low < high) & ~below, middle).otherwise(high).alias("high"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(cuts).bit_length())), start, step, lambda acc: acc["low"])
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Add ``signs``, ``next_text`` and ``next_signs``: those of the document with the next smaller id, the
-    first again after the last. Texts are shuffled once, into groups of neighbouring ids; the row that
-    another group needs goes there as well, known from a broadcast table of at most ``MOST_GROUPS`` ids."""
+    first again after the last. Texts are shuffled once, into groups of about equally many neighbouring ids; the
+    row that another group needs goes there as well, known from a broadcast table of at most ``MOST_GROUPS`` ids
+    and one for each sorted range. Null ids are grouped by text hash."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    stats = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).first()
-    low, high = stats["low"] or 0, stats["high"] or 0
-    groups = max(1, min(MOST_GROUPS, math.ceil(stats["n"] / GROUP_ROWS)))
-    width = (high - low) // groups + 1
-    group = F.coalesce(F.floor((F.col("doc_id") - low) / F.lit(width)), F.lit(0)).cast("long")
-    docs = docs.withColumn("_group", group)
+    rows = max(GROUP_ROWS, -(-docs.count() // MOST_GROUPS))
+    ids = _every(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("v")), rows)
+    nameless = _every(docs.where("doc_id IS NULL").select(F.xxhash64("text").alias("v")), rows)
+    key = F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text"))
+    group = F.when(F.col("doc_id").isNull(), _under(F.col("_key"), nameless)).otherwise(_under(F.col("_key"), ids) + len(nameless) + 1)
+    docs = docs.withColumn("_key", key).withColumn("_group", group)
     order = Window.orderBy("_group")
-    last = docs.groupBy("_group").agg(F.max("doc_id").alias("_last"))
-    last = last.select("_last", F.coalesce(F.lead("_group").over(order), F.min("_group").over(order)).alias("_also"))
-    sent = docs.join(F.broadcast(last), F.col("doc_id") == F.col("_last"), "left")
+    last = docs.groupBy("_group").agg(F.max("_key").alias("_last"))
+    last = last.select("_group", "_last", F.coalesce(F.lead("_group").over(order), F.min("_group").over(order)).alias("_also"))
+    sent = docs.join(F.broadcast(last.withColumnRenamed("_group", "_of")), (F.col("_group") == F.col("_of")) & (F.col("_key") == F.col("_last")), "left")
     ghosts = F.filter(F.array(F.struct(F.col("_group").alias("g"), F.lit(1).alias("own")), F.struct(F.col("_also").alias("g"), F.lit(0).alias("own"))), lambda x: x["g"].isNotNull())
-    sent = sent.select("doc_id", "text", F.explode(ghosts).alias("_to")).select("doc_id", "text", F.col("_to.g").alias("_g"), F.col("_to.own").alias("_own"))
+    sent = sent.select("doc_id", "text", "_key", F.explode(ghosts).alias("_to")).select("doc_id", "text", "_key", F.col("_to.g").alias("_g"), F.col("_to.own").alias("_own"))
     signed = sent.repartition("_g").withColumn("signs", signatures(F.col("text")))
-    near = Window.partitionBy("_g").orderBy("_own", F.asc_nulls_first("doc_id"), F.xxhash64("text"))
+    near = Window.partitionBy("_g").orderBy("_own", "_key", F.xxhash64("text"))
     out = signed.withColumn("next_text", F.coalesce(F.lag("text").over(near), F.col("text")))
     out = out.withColumn("next_signs", F.coalesce(F.lag("signs").over(near), F.col("signs")))
-    return out.where("_own = 1").drop("_g", "_own")
+    return out.where("_own = 1").drop("_g", "_own", "_key")
+
+
+def set_hash(signs: Column) -> tuple[Column, Column]:
+    """128 bits of a set of signatures."""
+    return F.xxhash64(signs), F.xxhash64(F.lit(1), signs)
+
+
+def rarest_first(signed: DataFrame, percent: int) -> Column:
+    """The prefix of ``signs``, the rarest first, as columns (order, signature) in 64 bits. Signatures are counted in
+    ``BUCKETS`` buckets, whose orders are broadcast; the order of a signature matters for speed alone."""
+    counts = signed.select(F.explode("signs").alias("s")).groupBy(F.pmod("s", F.lit(BUCKETS)).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    every = signed.sparkSession.range(BUCKETS).join(counts, "id", "left")
+    order = F.least(F.lit(127), F.floor(F.log2(F.coalesce("n", F.lit(1))) * STEPS)).cast("string")
+    lines = every.groupBy(F.shiftright("id", 10).alias("line")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", order.alias("o")))), lambda x: x["o"]), ",").alias("orders"))
+    orders = F.split(F.lit(",".join(r["orders"] for r in sorted(lines.collect(), key=lambda r: r["line"]))), ",").cast("array<bigint>")
+    n = F.size("signs")
+    least = F.floor((F.lit(percent) * n + 99) / 100)
+    keyed = F.transform("signs", lambda s: F.shiftleft(F.get(orders, F.pmod(s, F.lit(BUCKETS)).cast("int")), 56).bitwiseOR(s))
+    return F.slice(F.sort_array(keyed), F.lit(1), (n - least + F.least(F.lit(SHARED), least)).cast("int"))
+
+
+def near_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, k1, near_class) of every row: the smallest id among the documents whose fingerprints are linked with
+    that of the row, directly or through others, by a Jaccard of ``percent`` at least. Equal fingerprints are one class; sets meet
+    under a rare signature, by neighbouring lengths first, then within bands of length, and no pair outside the
+    bounds of its lengths is compared. A null id is linked with nothing."""
+    k1, k2 = set_hash(F.col("signs"))
+    signed = docs.select("doc_id", signatures(F.coalesce("text", F.lit(""))).alias("signs")).withColumn("k1", k1).withColumn("k2", k2)
+    signed = materialize(signed, "signatures")
+    named = signed.where("doc_id IS NOT NULL")
+    classes = named.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("signs").alias("signs"))
+    classes = materialize(classes, "sets")
+    firsts = materialize(classes.select("k1", "k2", "copies", "rep", F.size("signs").alias("n"), rarest_first(classes, percent).alias("columns")), "prefixes")
+    sets = classes.select("rep", "signs")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("signs").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("signs").alias("y")), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        return both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+    _, merged = links(firsts, percent, confirmed, components_by_stars)
+    classes = firsts.join(merged, F.col("rep") == F.col("id"), "left").select("k1", "k2", "copies", F.coalesce("component", "rep").alias("component"))
+    out = given_back(named.select("doc_id", "k1", "k2"), ["k1", "k2"], classes, named.count())
+    return out.select("doc_id", "k1", F.col("component").alias("near_class"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every text and of its edited text, and the likeness to that and to the next document.
+    """Fingerprints of every text and of its edited text, the likeness to that and to the next document, and the
+    smallest id among the near copies by fingerprint, ``near_class``.
 
     A null text counts as empty; the only document is its own next; rows with equal ids follow each other by
-    text hash; a null id is the smallest; an empty table gives no rows; other columns are ignored."""
+    text hash; a null id is the smallest, and has no near copies; a very long text has a very long fingerprint; an
+    empty table gives no rows; other columns, whatever their names, are ignored."""
+    docs = docs.select("doc_id", "text")
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.expr("substring(text, 1, length(text) - _half)"), F.expr("substring(next_text, 1, _half)"))
     out = with_next(docs).withColumn("_half", half).withColumn("_edited", edited).withColumn("_edited_signs", signatures(F.col("_edited")))
-    return out.select(
+    out = out.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("_edited", "utf-8"), 256).alias("edited_sha256"),
         fingerprint(F.col("signs")).alias("fingerprint"), fingerprint(F.col("_edited_signs")).alias("edited_fingerprint"),
         likeness(F.col("signs"), F.col("_edited_signs")).alias("near_edited"), likeness(F.col("signs"), F.col("next_signs")).alias("near_next"),
+        set_hash(F.col("signs"))[0].alias("k1"),
     )
+    # only rows whose class is not named after them need be told, in general few
+    told = materialize(near_classes(docs).where("near_class <> doc_id").distinct(), "near")
+    told = F.broadcast(told) if told.count() <= FEW_IDS else told
+    return out.join(told, ["doc_id", "k1"], "left").withColumn("near_class", F.coalesce("near_class", "doc_id")).drop("k1")
 
 
 def near_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(a, b, likeness) of near fingerprints, and membership: returns pairs between classes of equal fingerprints,
+    """(a, b, likeness) of near fingerprints, and membership: returns all pairs between classes of equal fingerprints,
     named by their smallest doc_id, with the classes' sizes ``n_a`` and ``n_b``. Sets meet in partitions of
-    neighbouring lengths, under a signature of their prefix; every set in a pair is then compared in full. Null
+    neighbouring lengths, under a signature of their prefix, the rarest first; every set in a pair is then compared
+    in full. Where pairs are too many to be listed, ``near_classes`` gives their components. Null
     texts count as empty, and empty texts are one class; classes whose ids are all null are left out; an empty
     table gives no pairs."""
     signed = docs.select("doc_id", signatures(F.coalesce("text", F.lit(""))).alias("signs"))
     classes = signed.groupBy("signs").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
     n = F.size("signs")
-    band = F.floor(F.log(n.cast("double")) / F.lit(-math.log(threshold))).cast("int")
-    prefix = F.slice("signs", F.lit(1), (n - F.ceil(n * threshold) + 1).cast("int"))
+    band = size_band(n, round(threshold * 100))
+    prefix = rarest_first(classes, round(threshold * 100))
     keyed = classes.withColumn("_n", n).withColumn("_key", F.explode(prefix)).withColumn("_band", F.explode(F.array(band, band + 1)))
     keyed = keyed.select("doc_id", "_n", "_key", "_band")
     left, right = keyed.alias("l"), keyed.alias("r")

@@ -297,6 +297,67 @@ def test_likeness_is_jaccard_of_chains(query, docs):
             assert got.near_next[d] == pytest.approx(len(a & b) / len(a | b))
 
 
+def plain_jaccard(a, b):
+    """Of the chains of two texts; texts without any are alike if they are equal."""
+    x, y = plain_signs(a) or {a}, plain_signs(b) or {b}
+    return len(x & y) / len(x | y)
+
+
+def test_likeness_of_every_row(query, docs):
+    got = query("op5_fingerprints").set_index("doc_id")
+    down = docs.sort_values("doc_id", ascending=False)
+    texts, ids = list(down.text), list(down.doc_id)
+    for i, (d, t) in enumerate(zip(ids, texts, strict=True)):
+        after, half = texts[(i + 1) % len(texts)], len(t) // 2
+        assert got.near_next[d] == pytest.approx(plain_jaccard(t, after))
+        assert got.near_edited[d] == pytest.approx(plain_jaccard(t, t[: len(t) - half] + after[:half]))
+
+
+def test_near_classes_of_every_row(query, docs):
+    got = query("op5_fingerprints").set_index("doc_id")
+    sets = {d: {f[i : i + 8] for i in range(0, len(f), 8)} for d, f in got.fingerprint.items()}
+    up = {d: d for d in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    held = defaultdict(list)
+    for d in sorted(sets):
+        shared = Counter(o for s in sets[d] for o in held[s])
+        for o, k in shared.items():
+            if 100 * k >= 80 * (len(sets[d]) + len(sets[o]) - k):
+                a, b = root(d), root(o)
+                up[max(a, b)] = min(a, b)
+        for s in sets[d]:
+            held[s].append(d)
+    assert got.near_class.to_dict() == {d: root(d) for d in sets}
+    assert (got.near_class != got.index).sum() > 20
+
+
+@pytest.mark.parametrize("group_rows", [3, 2000])
+def test_next_of_any_ids(spark, monkeypatch, group_rows):
+    """Ids at both ends of the range, one far from the others, none, and equal ones."""
+    monkeypatch.setattr(spotsigs, "GROUP_ROWS", group_rows)
+    ids = [-9 * 10**18, 9 * 10**18, *range(40), 2**60, None, None, None, 7, 7]
+    rows = [(d, f"the word{i} and other{i} of some text{i} " * 3) for i, d in enumerate(ids)]
+    got = spotsigs.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(r.doc_id for r in got) == Counter(ids)
+    order = sorted({d for d in ids if d is not None})
+    texts = defaultdict(set)
+    for d, t in rows:
+        texts[d].add(t)
+    for r in got:
+        if r.doc_id is None or r.doc_id == 7:
+            continue
+        below = [d for d in order if d < r.doc_id]
+        nexts = texts[below[-1]] if below else texts[None]
+        own = next(iter(texts[r.doc_id]))
+        made = {hashlib.sha256((own[: len(own) - len(own) // 2] + n[: len(own) // 2]).encode()).hexdigest() for n in nexts}
+        assert r.edited_sha256 in made
+
+
 def test_near_pairs_of_fingerprints(spark):
     rng = np.random.default_rng(7)
     words = ["the" if i % 3 == 0 else f"w{rng.integers(0, 5000)}" for i in range(300)]
