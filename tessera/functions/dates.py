@@ -29,14 +29,17 @@ def _swapped(t: Column, pattern: str, order: tuple[int, int, int]) -> Column:
     return F.when(t.rlike(pattern), F.concat_ws("-", *parts))
 
 
+#: A day, a month's name and a year, at whatever place one begins.
+NAMED = rf"(?U)(?=((\d{{1,2}})\s+({'|'.join(MONTHS)})\s+(\d{{4}})))"
+
+
 def _by_month_name(t: Column) -> Column:
-    """The first month name, in order, that stands between a day and a year."""
-    found = []
-    for name, number in MONTHS.items():
-        pattern = rf"(?U)(\d{{1,2}})\s+{name}\s+(\d{{4}})"
-        day = F.lpad(F.regexp_extract(t, pattern, 1), 2, "0")
-        found.append(F.when(t.rlike(pattern), F.concat_ws("-", F.regexp_extract(t, pattern, 2), F.lit(number), day)))
-    return F.coalesce(*found)
+    """The first month name, in order, that stands between a day and a year: all such places are found in one go."""
+    names, numbers = F.array(*[F.lit(n) for n in MONTHS]), F.array(*[F.lit(n) for n in MONTHS.values()])
+    part = lambda s, i: F.regexp_extract(s, rf"(?U)^(\d{{1,2}})\s+(\S+)\s+(\d{{4}})$", i)
+    placed = F.transform(F.regexp_extract_all(t, F.lit(NAMED), F.lit(1)), lambda s, i: F.struct(F.array_position(names, part(s, 2)).alias("k"), i.alias("i"), s.alias("s")))
+    first = F.array_min(placed)
+    return bound(first, lambda p: F.when(p.isNotNull(), F.concat_ws("-", part(p["s"], 3), F.get(numbers, p["k"].cast("int") - 1), F.lpad(part(p["s"], 1), 2, "0"))))
 
 
 def normalize_date_weak(text: Column) -> Column:

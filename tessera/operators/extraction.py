@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import dates
-from tessera.functions.text import CARD_WORDS, any_of, clean_name, normalize_address, normalize_name, validate_date, validate_name
+from tessera.functions.text import CARD_WORDS, any_of, bound, clean_name, normalize_address, normalize_name, validate_date, validate_name
 from tessera.operators.segments import keep_first, line_numbers
 
 CONF_FLOOR, AUTO_APPROVE, LINE_GAP = 0.70, 0.75, 0.02
@@ -61,16 +61,22 @@ def sure_segments(segments: DataFrame, label: str, doc: str = "doc") -> DataFram
     return keep_first(subset, [F.col(doc), F.bround("y", 2), F.bround("x", 2)], [F.col("seg_idx")])
 
 
+def _in_reading_order(found: Column, label: str) -> Column:
+    """Texts of structs (y, seg_idx, x, text), by lines and then from left to right, cleaned as the field asks."""
+
+    def joined(s: Column) -> Column:
+        line = line_numbers(F.transform(s, lambda p: p["y"]), LINE_GAP)
+        keyed = F.array_sort(F.zip_with(line, s, lambda n, p: F.struct(n.alias("n"), p["x"].alias("x"), p["seg_idx"].alias("i"), p["text"].alias("t"))))
+        return F.array_join(F.transform(keyed, lambda p: p["t"]), " ")
+
+    text = bound(F.array_sort(found), joined)
+    return normalize_name(text) if label == "name" else normalize_address(text)
+
+
 def assembled_text(segments: DataFrame, label: str, doc: str = "doc") -> DataFrame:
     """(doc, value, conf): texts of a field in reading order, by lines and then from left to right."""
-    rows = sure_segments(segments, label, doc).groupBy(doc).agg(
-        F.array_sort(F.collect_list(F.struct("y", "seg_idx", "x", "text"))).alias("s"), F.avg("ocr_conf").alias("conf")
-    )
-    line = line_numbers(F.transform("s", lambda p: p["y"]), LINE_GAP)
-    keyed = F.array_sort(F.zip_with(line, F.col("s"), lambda n, p: F.struct(n.alias("n"), p["x"].alias("x"), p["seg_idx"].alias("i"), p["text"].alias("t"))))
-    joined = F.array_join(F.transform(keyed, lambda p: p["t"]), " ")
-    clean = normalize_name(joined) if label == "name" else normalize_address(joined)
-    return rows.select(doc, clean.alias("value"), "conf")
+    rows = sure_segments(segments, label, doc).groupBy(doc).agg(F.collect_list(F.struct("y", "seg_idx", "x", "text")).alias("s"), F.avg("ocr_conf").alias("conf"))
+    return rows.select(doc, _in_reading_order(F.col("s"), label).alias("value"), "conf")
 
 
 def assembled_date(segments: DataFrame, doc: str = "doc") -> DataFrame:
@@ -79,26 +85,41 @@ def assembled_date(segments: DataFrame, doc: str = "doc") -> DataFrame:
     return top.select(doc, dates.normalize_date(F.col("s.text")).alias("value"), F.col("s.ocr_conf").alias("conf"))
 
 
+def _dated(segments: DataFrame) -> DataFrame:
+    """Segments with ``dated``, a struct of their number, date and confidence where the whole text reads as a date."""
+    value = F.col("_value").rlike(r"^\d{4}-\d{2}-\d{2}$")
+    found = F.struct("seg_idx", F.col("_value").alias("value"), F.coalesce("ocr_conf", F.lit(0.5)).alias("conf"))
+    return segments.withColumn("_value", dates.normalize_date(F.col("text"))).withColumn("dated", F.when(value, found)).drop("_value")
+
+
 def scanned_date(segments: DataFrame, doc: str = "doc") -> DataFrame:
     """(doc, value, conf): the first segment of any label that reads as a whole date."""
-    norm = segments.withColumn("value", dates.normalize_date(F.col("text"))).where(F.col("value").rlike(r"^\d{4}-\d{2}-\d{2}$"))
-    first = norm.groupBy(doc).agg(F.min_by(F.struct("value", F.coalesce("ocr_conf", F.lit(0.5)).alias("conf")), F.col("seg_idx")).alias("s"))
+    first = _dated(segments).groupBy(doc).agg(F.min("dated").alias("s")).where("s IS NOT NULL")
     return first.select(doc, "s.value", "s.conf")
 
 
 def extracted(segments: DataFrame, home: DataFrame, doc: str = "doc") -> DataFrame:
     """(doc, pred_name, pred_dob, pred_addr, conf_name, conf_dob, conf_addr); ``home``: (doc, is_home), as only
-    documents of the home country have addresses."""
-    named = lambda df, field: df.select(doc, F.col("value").alias(f"pred_{field}"), F.col("conf").alias(f"conf_{field}"))
-    out = home.join(named(assembled_text(segments, "name", doc), "name"), doc, "left").join(named(assembled_date(segments, doc), "dob"), doc, "left")
-    out = out.join(named(assembled_text(segments, "address", doc), "addr"), doc, "left").join(named(scanned_date(segments, doc), "scan"), doc, "left")
+    documents of the home country have addresses. Segments are read once: those at one place of one field become the
+    first of them, then all of a document's one row."""
+    sure = F.when(F.col("ocr_conf") >= CONF_FLOOR, F.struct("seg_idx", "y", "x", "text", "ocr_conf"))
+    places = _dated(segments).groupBy(doc, "label", F.bround("y", 2), F.bround("x", 2)).agg(F.min(sure).alias("p"), F.min("dated").alias("dated"))
+    of = lambda label, *names: F.when((F.col("label") == label) & F.col("p").isNotNull(), F.struct(*[F.col(f"p.{n}") for n in names]))
+    texts = ("y", "seg_idx", "x", "text")
+    conf = lambda label: F.avg(F.when(F.col("label") == label, F.col("p.ocr_conf")))
+    rows = places.groupBy(doc).agg(
+        F.collect_list(of("name", *texts)).alias("name"), F.collect_list(of("address", *texts)).alias("address"), F.min(of("birth_date", "y", "seg_idx", "text", "ocr_conf")).alias("top"),
+        F.min("dated").alias("scan"), conf("name").alias("conf_name"), conf("address").alias("conf_addr"),
+    )
+    out = home.join(rows, doc, "left").withColumn("pred_dob", dates.normalize_date(F.col("top.text")))
     lacks = F.coalesce("pred_dob", F.lit("")) == ""
+    blank = lambda c: F.coalesce(c, F.lit(""))
     return out.select(
-        doc, "is_home", clean_name(F.coalesce("pred_name", F.lit(""))).alias("pred_name"),
-        F.when(lacks, F.coalesce("pred_scan", F.lit(""))).otherwise(F.col("pred_dob")).alias("pred_dob"),
-        F.when(F.col("is_home"), F.coalesce("pred_addr", F.lit(""))).otherwise("").alias("pred_addr"),
+        doc, "is_home", clean_name(blank(_in_reading_order(F.col("name"), "name"))).alias("pred_name"),
+        F.when(lacks, blank(F.col("scan.value"))).otherwise(F.col("pred_dob")).alias("pred_dob"),
+        F.when(F.col("is_home"), blank(_in_reading_order(F.col("address"), "address"))).otherwise("").alias("pred_addr"),
         F.coalesce("conf_name", F.lit(0.0)).alias("conf_name"),
-        F.coalesce(F.when(lacks, F.col("conf_scan")).otherwise(F.col("conf_dob")), F.lit(0.0)).alias("conf_dob"),
+        F.coalesce(F.when(lacks, F.col("scan.conf")).otherwise(F.col("top.ocr_conf")), F.lit(0.0)).alias("conf_dob"),
         F.when(F.col("is_home"), F.coalesce("conf_addr", F.lit(0.0))).otherwise(0.0).alias("conf_addr"),
     )
 

@@ -9,6 +9,24 @@ from pyspark.sql.window import Window
 from tessera.functions import geometry, text
 
 
+def parsed_payload(docs: DataFrame, payload: str = "payload") -> DataFrame:
+    """``docs`` with ``texts``, ``scores`` and ``boxes`` from an engine's answer as JSON, which has one of two shapes: an object of
+    rec_texts, rec_scores and dt_polys, or an array of lines [box, [text, score]], of which those of another length are left
+    out. An empty, missing or broken answer gives empty arrays."""
+    named = F.from_json(F.col(payload), "rec_texts array<string>, rec_scores array<double>, dt_polys array<array<array<double>>>")
+    listed = lambda v: F.try_variant_get(v, "$", "array<variant>")
+    whole = F.try_parse_json(F.col(payload))
+    lines = F.filter(F.coalesce(listed(whole), F.array().cast("array<variant>")), lambda line: F.size(listed(line)) == 2)
+    part = lambda path, kind: F.transform(lines, lambda line: F.variant_get(line, path, kind))
+    either = lambda field, other, kind: F.when(F.col("_named.rec_texts").isNotNull(), F.coalesce(f"_named.{field}", F.array().cast(kind))).otherwise(other)
+    out = docs.withColumn("_named", F.when(F.trim(payload).startswith("{"), named))
+    return out.withColumns({
+        "texts": either("rec_texts", part("$[1][0]", "string"), "array<string>"),
+        "scores": either("rec_scores", part("$[1][1]", "double"), "array<double>"),
+        "boxes": either("dt_polys", part("$[0]", "array<array<double>>"), "array<array<array<double>>>"),
+    }).drop("_named")
+
+
 def explode_results(docs: DataFrame, key: str = "filename") -> DataFrame:
     """(key, seg_idx, text, ocr_conf, box) from ``texts``, ``scores`` and ``boxes``, cut to the shortest of them."""
     n = F.least(F.size("texts"), F.size("scores"), F.size("boxes"))

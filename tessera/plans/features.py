@@ -183,3 +183,21 @@ def x3_results(t: Tables) -> DataFrame:
     docs = t.conversations.groupBy("conv_id").agg(in_order("role").alias("texts"))
     docs = docs.withColumn("scores", F.slice(F.transform("texts", lambda x, i: i * 0.1), 1, 3)).withColumn("boxes", F.transform("texts", lambda x: F.array(F.lit(0.0))))
     return segments.explode_results(docs, "conv_id").select("conv_id", F.col("seg_idx").cast("bigint").alias("seg_idx"), "text")
+
+
+@query("i11_payloads", """SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seg_idx, role AS text, 0.5::DOUBLE + turn / 100 AS ocr_conf, turn * 10.0::DOUBLE AS top
+FROM conversations WHERE conv_id % 5 < 4""")
+def i11(t: Tables) -> DataFrame:
+    """Answers of an engine in both shapes, with a line of neither among them; every fifth is empty."""
+    box = F.concat(F.lit("[[0,"), (F.col("turn") * 10).cast("string"), F.lit("],[9,9]]"))
+    score = (F.lit(0.5) + F.col("turn") / 100).cast("string")
+    line = F.concat(F.lit("["), box, F.lit(',["'), F.col("role"), F.lit('",'), score, F.lit("]]"))
+    in_order = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", c.alias("c")))), lambda x: x["c"]), ",")
+    docs = t.conversations.groupBy("conv_id").agg(
+        F.concat(F.lit('{"rec_texts":['), in_order(F.concat(F.lit('"'), F.col("role"), F.lit('"'))), F.lit('],"rec_scores":['), in_order(score), F.lit('],"dt_polys":['), in_order(box), F.lit("]}")).alias("named"),
+        F.concat(F.lit('[["odd"],'), in_order(line), F.lit("]")).alias("listed"),
+    )
+    k = F.col("conv_id")
+    payload = F.when(k % 5 == 4, F.when(k % 2 == 0, "").otherwise("[]")).when(k % 2 == 0, F.col("named")).otherwise(F.col("listed"))
+    out = segments.explode_results(segments.parsed_payload(docs.select("conv_id", payload.alias("payload"))), "conv_id")
+    return out.select("conv_id", F.col("seg_idx").cast("bigint").alias("seg_idx"), "text", "ocr_conf", F.get(F.get("box", 0), 1).alias("top"))
