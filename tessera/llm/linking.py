@@ -84,10 +84,11 @@ def open_pairs(near: DataFrame, merged: DataFrame, parts: DataFrame, percent: in
     placed = near.join(merged, F.col("rep") == F.col("id"), "left")
     placed = placed.select("column", "part", "at", "rep", "n", F.coalesce("component", "rep").alias("component"))
     mixed = placed.groupBy("column").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("column")
-    kept = materialize(placed.join(mixed, "column"), "open")
+    each = F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)
+    mixed = mixed.join(F.broadcast(parts), "column", "left").select("column", F.explode(each).alias("part"))
+    kept = materialize(placed.join(mixed, ["column", "part"]), "open")
     band = size_band(F.col("n"), percent)
     small = kept.withColumn("band", F.explode(F.array(band, band + 1)))
-    each = F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)
     large = kept.withColumn("band", band).join(F.broadcast(parts), "column", "left").withColumn("part", F.explode(each))
     x, y = small.alias("x"), large.alias("y")
     fit, asked = possible([F.col(c) for c in ("x.n", "x.at", "y.n", "y.at")], percent)
