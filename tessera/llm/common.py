@@ -41,11 +41,23 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Tables that this process has written and not cleared.
+WRITTEN: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the tables that operators of this process have written. Frames that read them are of no use then."""
+    while WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it from there: its lineage is cut, so a lost
     executor costs no recomputation, and every reader sees the same rows."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -194,3 +194,23 @@ def score_language(docs: DataFrame, train: Column) -> DataFrame:
 
     schema = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double, train_tokens long"
     return real_ids(counting.applied(docs, answers, items_of, ranges, 64, scored, schema))
+
+
+def score_sql(train: str) -> str:
+    """DuckDB SQL for (doc_id, n_tokens, n_known, train_tokens, base_score, score) of ``documents``, and ``train``, which
+    is given as SQL over doc_id: the interpolated probabilities themselves, without an automaton."""
+    weight = lambda c, words: f"CASE WHEN {c} > 0 THEN least(1, greatest({FAILURE[words - 1][2]}::DOUBLE, {FAILURE[words - 1][0]}::DOUBLE - {FAILURE[words - 1][1]}::DOUBLE * log2({c}))) ELSE 1.0::DOUBLE END"
+    return f"""
+WITH d AS (SELECT doc_id, {train} AS train, list_append(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''), '</s> ') AS w FROM documents),
+t AS (SELECT doc_id, train, unnest(w) AS w, unnest(list_prepend('<s> ', w)[1 : len(w)]) AS v, unnest(list_concat([NULL, '<s> '], w)[1 : len(w)]) AS u FROM d),
+c1 AS (SELECT w, count(*) AS c FROM t WHERE train GROUP BY 1 UNION ALL SELECT '<s> ', count(*) FROM d WHERE train),
+c2 AS (SELECT v, w, count(*) AS c FROM t WHERE train GROUP BY 1, 2),
+c3 AS (SELECT u, v, w, count(*) AS c FROM t WHERE train AND u IS NOT NULL GROUP BY 1, 2, 3),
+k AS (SELECT coalesce(sum(c) FILTER (WHERE w <> '<s> '), 0) AS n, count(*) FILTER (WHERE w <> '<s> ') AS types FROM c1),
+j AS (SELECT t.doc_id, t.train, t.u, coalesce(a.c, 0) AS w1, coalesce(b.c, 0) AS h1, coalesce(e.c, 0) AS w2, coalesce(f.c, 0) AS h2, coalesce(g.c, 0) AS w3
+      FROM t LEFT JOIN c1 a ON a.w = t.w LEFT JOIN c1 b ON b.w = t.v LEFT JOIN c2 e ON e.v = t.v AND e.w = t.w LEFT JOIN c2 f ON f.v = t.u AND f.w = t.v LEFT JOIN c3 g ON g.u = t.u AND g.v = t.v AND g.w = t.w),
+p AS (SELECT *, (w1 + 1) / (n + types + 1)::DOUBLE AS p1, {weight('h1', 1)} AS l1, {weight('h2', 2)} AS l2, n FROM j, k),
+q AS (SELECT *, (1 - l1) * w2 / greatest(h1, 1) + l1 * p1 AS p2 FROM p)
+SELECT doc_id, train, count(*)::BIGINT AS n_tokens, count(*) FILTER (WHERE w1 > 0)::BIGINT AS n_known, max(n)::BIGINT AS train_tokens, sum(log10(p1)) AS base_score,
+       sum(log10(CASE WHEN u IS NULL THEN p2 ELSE (1 - l2) * w3 / greatest(h2, 1) + l2 * p2 END)) AS score FROM q GROUP BY 1, 2
+"""

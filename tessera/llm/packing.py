@@ -36,19 +36,21 @@ LONGEST_RUN = 500_000
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str):  # noqa: ANN201
-    """Text to ids under the byte-level BPE file at ``path``, the same ids as the tokenizers library gives
-    without special tokens. The file's vocabulary lists merges in order of rank, which is all that the faster
-    library needs. Very long runs of blanks are cut out as the pattern would: before their last blank, or at the
-    end of the text, and merged as one piece."""
+def encoder(path: str, special: bool = False):  # noqa: ANN201
+    """Text to ids under the byte-level BPE file at ``path``, the same ids as the tokenizers library gives without
+    adding special tokens. ``special``: the strings of the file's added tokens become their ids, as the library has it
+    by default; else they are text like any other, as it has it with ``encode_special_tokens`` on, which is how the
+    file's description uses it: a crawled text can't end a document. The file's vocabulary lists merges in order of
+    rank, which is all that the faster library needs. Very long runs of blanks are cut out as the pattern would: before
+    their last blank, or at the end of the text, and merged as one piece."""
     import tiktoken
 
     with open(path, encoding="utf-8") as file:
-        vocabulary = json.load(file)["model"]["vocab"]
+        held = json.load(file)
+    vocabulary, added = held["model"]["vocab"], {t["content"]: t["id"] for t in held["added_tokens"]}
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     stands = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-    special = {"<|endoftext|>"}
-    ranks = {bytes(stands[c] for c in word): i for word, i in vocabulary.items() if word not in special}
+    ranks = {bytes(stands[c] for c in word): i for word, i in vocabulary.items() if word not in added}
     bpe = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> list[int]:
@@ -63,7 +65,16 @@ def encoder(path: str):  # noqa: ANN201
                 at = end
         return ids + bpe.encode_ordinary(text[at:])
 
-    return encode
+    marks = re.compile("|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)))
+
+    def encode_marked(text: str) -> list[int]:
+        ids, at = [], 0
+        for mark in marks.finditer(text):
+            ids += [*encode(text[at : mark.start()]), added[mark.group()]]
+            at = mark.end()
+        return ids + encode(text[at:])
+
+    return encode_marked if special and added else encode
 
 
 def default_path() -> str:
@@ -72,14 +83,14 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, special: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every row. A document is its ids and the end id; a
     longer one is cut into pieces of the capacity, the first of which may be shorter. A null text counts as
     empty, one id; each of equal rows is cut; other columns are ignored."""
     path = path or default_path()
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(path)
+        encode = encoder(path, special)
         for part in chunks(frames, "text"):
             rows = []
             for doc_id, text in zip(part["doc_id"], part["text"], strict=True):
@@ -135,10 +146,12 @@ def supersteps(counts: dict[int, int], capacity: int = CAPACITY) -> list[Run]:
     return runs
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """The pieces of ``docs`` with sequence_id and offset. An empty table gives no rows; equal rows are packed
-    each; pieces of one length are interchangeable and ranked by id, piece and crc32."""
-    cut = materialize(pieces(docs, path, capacity, with_ids), "pieces")
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, special: bool = False) -> DataFrame:
+    """The pieces of ``docs`` with sequence_id and offset. Null and empty texts are the end id alone; very long texts
+    are cut into pieces; equal rows and null ids are packed each; pieces of one length are interchangeable and ranked by id,
+    piece and crc32; an empty table gives no rows; other columns, whatever their names, are ignored. ``special``: see
+    ``encoder``."""
+    cut = materialize(pieces(docs, path, capacity, with_ids, special), "pieces")
     counts = {row["length"]: row["n"] for row in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs = [(r.length, r.low, r.high, r.per, r.first, r.offset) for r in supersteps(counts, capacity)]
     table = docs.sparkSession.createDataFrame(runs, "_length long, _low long, _high long, _per long, _first long, _offset long")

@@ -19,13 +19,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learnable: Column | None = N
 
 
 def score_quality(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score, predicted) for every row. Null and empty texts score by the bias alone, repeated rows
-    are scored each, an empty table gives no rows, other columns are ignored."""
+    """(doc_id, score, predicted) for every row. Null and empty texts score by the bias alone; very long texts are read
+    in whole, and a feature counts once however often they hold it; repeated rows are scored each and alike; a score that
+    ties with the threshold is predicted 1; an empty table gives no rows; other columns are ignored."""
     return score(docs, model).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def keep_quality(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that the model doesn't reject. The decision is taken
     in place: texts are not shuffled. Null and empty texts are judged by the bias alone, which keeps them where
-    most labelled rows are good; equal rows share a verdict; an empty table gives no rows."""
+    most labelled rows are good; very long texts are read in whole; equal rows share a verdict; a score that ties with the
+    threshold stays; an empty table gives no rows."""
     return verdicts(docs, model, THRESHOLD)

@@ -118,7 +118,8 @@ def trusted_rows(labels: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, llr and kept, for every row of ``docs``. Null and empty texts fail
-    the base rules; repeated rows are judged each; an empty table gives no rows; other columns are ignored."""
+    the base rules; very long texts are counted in whole, within one row; repeated rows are judged each and alike; a ratio
+    that ties with the threshold is kept; an empty table gives no rows; other columns are ignored."""
     ratios = log_ratios(docs, trusted_rows(labels))
     out = add_ratio(base_counts(docs.select("doc_id", "text")), ratios)
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]

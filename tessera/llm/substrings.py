@@ -2,7 +2,8 @@
 
 1. Anchors. Of the 40-byte strings in each 100-byte window, that with the smallest hash is an anchor, so equal
    windows hold equal anchors at equal places. An anchor's context is what a window around it can reach: 60
-   bytes on each side. Occurrences are gathered by anchor hash, each with a hash of its context.
+   bytes on each side. Occurrences are gathered by anchor hash, each with a hash of its context under another base:
+   copies agree in 128 bits.
 2. Copies of a context are settled there: all but the first are covered from end to end. Only the first of each
    context goes on, and only if its anchor has several contexts, so a passage copied everywhere costs its edges.
    Contexts of an anchor are trimmed to what they share with any other, dropped if that is too short, and settled
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import NO_ID, chunks, materialize, real_ids, release, small_batches, whole_ids
+from tessera.llm.counting import LINEAR_BYTES
 
 LEAST, GRAM = 100, 40
 SIDE, WINDOW = LEAST - GRAM, LEAST - GRAM + 1
@@ -96,11 +98,7 @@ def anchors(data: np.ndarray, pair: tuple[Roller, Roller]) -> tuple[np.ndarray,
     # least hashes crowd at the low end: spread them again, one to one, so that ranges of them are even
     spread = h[place] * np.uint64(BASES[1])
     spread ^= spread >> np.uint64(32)
-    return place, spread * MIX, around >> AROUND
-
-
-#: Bits of a context's hash that are kept: it only tells apart contexts of one anchor hash.
-AROUND = np.uint64(16)
+    return place, spread * MIX, around
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -214,8 +212,10 @@ def _spans_frame(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pd.Data
 
 def marks(docs: DataFrame) -> DataFrame:
     """(doc, start, end): spans to remove, which may overlap, from rows (doc, text)."""
-    n_rows = docs.count()
-    ranges = max(1, -(-n_rows // RANGE_ROWS))
+    sums = docs.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("text").cast("bigint")).alias("size")).first()
+    # both sides of the table of batches by ranges grow with the root of the corpus, so its rows stay in proportion
+    growth = max(1.0, ((sums["size"] or 0) / LINEAR_BYTES) ** 0.5)
+    ranges, gather = max(1, round(sums["rows"] / RANGE_ROWS / growth)), GATHER * growth
     cuts_at = np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
 
     def found(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -245,7 +245,7 @@ def marks(docs: DataFrame) -> DataFrame:
                     place, h, around = anchors(data, pair)
                     held.append((np.full(len(place), doc, np.int64), place, h, around))
                     size += len(data)
-            if size > GATHER:
+            if size > gather:
                 yield emit()
                 held, size = [], 0
         if held:
@@ -389,7 +389,8 @@ def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row.
 
     A null text counts as empty and a null id as the smallest; texts under ``LEAST`` bytes lose nothing; rows with
-    one id are one document and must have one text; an empty table gives no rows; other columns are ignored."""
+    one id are one document and must have one text; very long texts are cut in whole, and of equal strings the one of the
+    smallest id and place stays; an empty table gives no rows; other columns are ignored."""
 
     def digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -418,3 +419,18 @@ def dedup(docs: DataFrame, keep_emptied: bool = True) -> DataFrame:
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def digest_sql(least: int = LEAST) -> str:
+    """DuckDB SQL for the rows of ``digests`` on ``documents``, by all windows; for small tables."""
+    return f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, {2 * least})) AS x FROM (SELECT doc_id, h, unnest(range(length(h) // 2 - {least - 1})) AS p FROM d)),
+r AS (SELECT doc_id, p FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY doc_id, p) AS nth FROM w) WHERE nth > 1),
+i AS (SELECT doc_id, p, sum(opens) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (SELECT *, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > {least}, true)::INT AS opens FROM r)),
+s AS (SELECT doc_id, min(p) AS a, max(p) + {least} AS b FROM i GROUP BY doc_id, run),
+k AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM s),
+g AS (SELECT doc_id, sum(b - a)::BIGINT AS removed, count(*) AS spans, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM k JOIN d USING (doc_id) GROUP BY 1)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN spans IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)
+"""

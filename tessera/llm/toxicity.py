@@ -19,6 +19,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learnable: Column | None =
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score, predicted) for every row. Null and empty texts score by the bias alone, repeated rows
-    are scored each, an empty table gives no rows, other columns are ignored."""
+    """(doc_id, score, predicted) for every row. Null and empty texts score by the bias alone; very long texts are read
+    in whole, and a feature counts once however often they hold it; repeated rows are scored each and alike; a score that
+    ties with the threshold is predicted 1; an empty table gives no rows; other columns are ignored."""
     return score(docs, model).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -12,10 +12,11 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tessera.llm import catalog, components, counting, ftrl, jaccard, language, linking, mixing, packing, quality, rules, sharding, spotsigs, substrings, toxicity
+from tessera.llm import catalog, common, components, counting, ftrl, jaccard, language, linking, mixing, packing, quality, rules, sharding, spotsigs, substrings, toxicity
 from tessera.llm.common import salted_rank
 
 FOLDER = "/root/testdata/sf0.01"
@@ -95,6 +96,16 @@ def test_salted_rank_is_a_rank(spark):
         assert list(ordered["rank"]) == list(range(len(part))) and set(part.total) == {len(part)}
 
 
+def test_clear_deletes_written_tables(spark):
+    kept, before = common.materialize(spark.range(3), "kept"), len(common.WRITTEN)
+    path = common.WRITTEN.pop()
+    held, common.WRITTEN[:] = list(common.WRITTEN), [path]
+    assert kept.count() == 3 and before > 0
+    common.clear(spark)
+    assert common.WRITTEN == [] and not spark._jvm.java.io.File(path.removeprefix("file:")).exists()
+    common.WRITTEN[:] = held
+
+
 # Classifiers
 
 
@@ -139,6 +150,63 @@ def test_features_of_skip_grams():
     assert Counter(row.tolist()) == {0: 6, 3: 6} and set(feature[row == 0]) == set(feature[row == 3])
 
 
+def spark_hash(*values):
+    """The engine's 64-bit hash of strings, long (int) and int (as a tuple of one) values, as a signed number."""
+    seed = 42
+    for v in values:
+        data = v.encode() if isinstance(v, str) else v[0].to_bytes(4, "little", signed=True) if isinstance(v, tuple) else v.to_bytes(8, "little", signed=True)
+        seed = xxhash.xxh64_intdigest(data, seed=seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def plain_features(text, f):
+    """Set of feature numbers, by scalar arithmetic on one token and one pair at a time."""
+    odd, whole = [int(x) for x in ftrl.ODD], (1 << 64) - 1
+    tokens = re.findall(r"\w+|[^\w\s]+", text.lower() if f.fold else text)
+    found = set()
+
+    def add(h, kind, skips):
+        for i, x in enumerate(h):
+            found.add(((x + kind + 1) * odd[0] & whole) >> (64 - f.bits))
+            for skip in skips:
+                if i + skip < len(h):
+                    pair = (x * odd[1] & whole) ^ (h[i + skip] * odd[2] & whole) ^ ((skip + 8 * kind) * odd[3] & whole)
+                    found.add((pair * odd[0] & whole) >> (64 - f.bits))
+
+    words = [zlib.crc32(t.encode()) for t in tokens]
+    add(words, 0, f.skips)
+    if f.shapes:
+        shape = lambda t: 1 if t.islower() else 3 if t.isupper() and len(t) > 1 else 2 if t.istitle() else 4 if t.isdigit() else 0
+        add([(shape(t) or w) + 8 * (i > 0 and w == words[i - 1]) for i, (t, w) in enumerate(zip(tokens, words, strict=True))], 2, (1, 2))
+    return found
+
+
+@pytest.mark.parametrize(("name", "label", "by", "out", "module"), [("op1_quality_classifier", "quality", 5, 0, quality), ("op2_toxicity", "toxic", 3, 1, toxicity)])
+def test_scores_of_a_plain_learner(spark, name, label, by, out, module):
+    """Feature by feature in a dictionary, from the labels and texts to the score of every row."""
+    folder = "/root/testdata/sf0.001"
+    docs, labels = (pd.read_parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    f, c = module.FEATURES, module.CONFIG
+    held = {d: plain_features(t or "", f) for d, t in zip(docs.doc_id, docs.text, strict=True)}
+    taught = sorted((d for d in labels.doc_id if zlib.crc32(str(d).encode()) % by != out and d in held), key=lambda d: (spark_hash(int(d), (29,)), d))
+    truth = dict(zip(labels.doc_id, labels[label], strict=True))
+    z, n, bias, bias_n = defaultdict(float), defaultdict(float), 0.0, 0.0
+    weight = lambda i: 0.0 if abs(z[i]) <= c.l1 else -(z[i] - math.copysign(c.l1, z[i])) / ((c.beta + math.sqrt(n[i])) / c.alpha + c.l2)
+    p = lambda d: 1 / (1 + math.exp(-min(35, max(-35, sum(weight(i) for i in held[d]) + bias))))
+    for _ in range(c.epochs):
+        for d in taught:
+            g = p(d) - truth[d]
+            for i, w in [(i, weight(i)) for i in held[d]]:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / c.alpha * w
+                n[i] += g * g
+            bias_n += g * g
+            bias -= c.alpha * g / (c.beta + math.sqrt(bias_n))
+    got = {r.doc_id: r for r in catalog.queries()[name](spark, folder).collect()}
+    assert set(got) == set(held)
+    for d, r in got.items():
+        assert r.score == pytest.approx(p(d), abs=2e-4) and r.held_out == (zlib.crc32(str(d).encode()) % by == out)
+
+
 # Substrings
 
 
@@ -611,6 +679,33 @@ def test_ids_of_very_long_runs(text):
     assert packing.encoder(path)(text) == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("special", [False, True])
+def test_added_tokens_are_text_or_their_ids(special):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = not special
+    encode = packing.encoder(public.path("byte_bpe_50k.json"), special)
+    for text in ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> x", "no\n<|endoftext|", " " * 600_000 + "<|endoftext|>" + " " * 600_000]:
+        assert encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_edges_of_packing(edge):
+    """Null and empty texts are one id, very long ones are cut, equal rows and null ids are packed each, columns
+    of any name do no harm, and an empty table gives no rows; so with the stage."""
+    import corpus_pipeline as pipeline
+
+    pytest.importorskip("public_tokenizers")
+    for out in (packing.pack(edge), dict(pipeline.STAGES)["sequences"](edge.sparkSession, edge, FOLDER)):
+        got = out.withColumn("doc_id", F.col("doc_id").cast("string")).toPandas()
+        assert Counter(d and int(d) for d in got[got.piece == 0].doc_id) == Counter([1, 1, 2, None, 9007199254740993, 4, 5, 6, 7])
+        assert got[got.doc_id.isin(["2", "4"])].length.tolist() == [1, 1] and (got[got.doc_id == "6"].length.sum(), got[got.doc_id == "6"].length.max()) == (30002, 2048)
+        ordered = got.sort_values(["sequence_id", "offset"])
+        assert (ordered.offset == ordered.groupby("sequence_id").length.cumsum() - ordered.length).all() and ordered.groupby("sequence_id").length.sum().max() <= 2048
+    assert packing.pack(edge.limit(0)).count() == 0
+
+
 def test_supersteps_are_best_fit():
     rng = np.random.default_rng(10)
     for _ in range(20):
@@ -662,6 +757,30 @@ def test_verdicts_follow_quality(query):
     assert long[long.quality == 1].kept.mean() > 0.99 and long[long.quality == 0].kept.mean() < 0.05
 
 
+def test_verdicts_of_a_plain_ratio(spark, query, docs):
+    """Hashes, counts, ratios and verdicts of every row, in plain Python."""
+    import regex
+
+    token = regex.compile(r"[\p{L}\p{N}]+|[^\p{L}\p{N} \t\n\x0B\f\r]+")
+
+    def grams(text):
+        h = [spark_hash(t) for t in token.findall(text or "")]
+        return [x % rules.BUCKETS for x in h] + [spark_hash(x, y) % rules.BUCKETS for x, y in zip(h, h[1:], strict=False)]
+
+    labels = pd.read_parquet(f"{FOLDER}/labels.parquet")
+    good, held = set(labels[labels.quality == 1].doc_id), {d: grams(t) for d, t in zip(docs.doc_id, docs.text, strict=True)}
+    raw, target = Counter(b for g in held.values() for b in g), Counter(b for d, g in held.items() if d in good for b in g)
+    more = lambda c: rules.SMOOTHING * sum(c.values()) / rules.BUCKETS
+    extra, n_raw, n_target = (more(target), more(raw)), sum(raw.values()), sum(target.values())
+    ratio = {b: math.log((target[b] + extra[0]) / (n_target + rules.BUCKETS * extra[0]) / ((raw[b] + extra[1]) / (n_raw + rules.BUCKETS * extra[1]))) for b in raw}
+    scored = {r.doc_id: r.llr for r in rules.judge(spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/labels.parquet")).select("doc_id", "llr").collect()}
+    got = query("op10_quality_rules").set_index("doc_id")
+    for d, g in held.items():
+        mean = sum(ratio[b] for b in g) / len(g) if g else 0.0
+        assert scored[d] == pytest.approx(mean, abs=1e-9)
+        assert got.kept[d] == (not got.base_failed[d] and mean >= rules.THRESHOLD)
+
+
 def test_ratios_by_hand(spark):
     docs = spark.createDataFrame([(1, "good good word"), (2, "bad !! word"), (3, None)], "doc_id long, text string")
     ratios = rules.log_ratios(docs, spark.createDataFrame([(1,)], "doc_id long"))
@@ -714,6 +833,18 @@ def test_repeated_strings_keeps_blank_rows(spark):
     assert {r.doc_id for r in out} == {1, 2, 3, 4, 6, 7} and {r.doc_id: r.text for r in out if r.doc_id in (2, 3, 4)} == {2: None, 3: "", 4: " \n"}
 
 
+def test_pipeline_of_edges_and_of_nothing(spark, edge, tmp_path):
+    import corpus_pipeline as pipeline
+
+    pytest.importorskip("public_tokenizers")
+    labels = spark.createDataFrame([(6, 1, 0), (7, 0, 0)], "doc_id long, quality int, toxic int")
+    for name, docs in {"edges": edge, "nothing": edge.limit(0)}.items():
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        out = pipeline.run(spark, f"{tmp_path}/{name}").toPandas()
+        assert (len(out) > 0) == (name == "edges") and set(out.doc_id.dropna().astype(int)) <= {1, 2, 4, 5, 6, 9007199254740993, 7}
+
+
 def test_pipeline_runs_whole(spark):
     import corpus_pipeline as pipeline
 
