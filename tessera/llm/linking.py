@@ -2,7 +2,7 @@
 
 A row is (rep, n, columns): its id, its size, and the columns of its prefix in one order for all rows, the rarest first.
 If 100 |x & y| >= 85 |x | y|, the first n - ceil(0.85 n) + L columns of both rows share at least L entries. Pairs are
-tried in two rounds: few of each column, linear in its rows; then those still in different components.
+tried in rounds: few of each column, linear in its rows, and few more; then those still in different components.
 A hot column is split into parts by id: a part has neighbours and a hub of its own, the parts' hubs meet the
 column's, and of the pairs left each part holds its rows as one side.
 """
@@ -23,6 +23,8 @@ SHARED, STEPS = 2, 6
 #: A column or class is hot with more than one in so many of all entries or rows, which bounds their number, and
 #: with more rows than a part is to have.
 HOT_SHARE, PART_ROWS = 100_000, 1_000
+#: Further rounds of tries, and how many places apart rows are tried in each.
+ROUNDS, LAGS = 2, 4
 
 
 def possible(pair: list[Column], percent: int) -> tuple[Column, Column]:
@@ -78,6 +80,21 @@ def tried_pairs(near: DataFrame) -> DataFrame:
     return out.select("rep", "n", "at", F.col("prev.rep").alias("prev"), F.col("prev.n").alias("prev_n"), F.col("prev.at").alias("prev_at"))
 
 
+def more_pairs(near: DataFrame, merged: DataFrame, salt: int, percent: int) -> DataFrame:
+    """(a, b) of rows in different components that follow each other at up to ``LAGS`` places in some part of a column, in an
+    order by hash: a number of pairs linear in the rows. Each comes from one column, so they aren't asked to share more."""
+    placed = near.join(merged, F.col("rep") == F.col("id"), "left")
+    placed = placed.select("column", "part", "rep", "n", "at", F.coalesce("component", "rep").alias("component"))
+    mixed = placed.groupBy("column", "part").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("column", "part")
+    by_hash = Window.partitionBy("column", "part").orderBy(F.xxhash64("rep", F.lit(salt)), "rep")
+    row = F.struct("rep", "n", "at", "component")
+    others = F.array(*[F.lag(row, k).over(by_hash) for k in range(1, LAGS + 1)])
+    followed = placed.join(mixed, ["column", "part"]).withColumn("others", others)
+    pairs = followed.select("rep", "n", "at", "component", F.explode("others").alias("o")).where("o.component <> component")
+    fit, _ = possible([F.col("n"), F.col("at"), F.col("o.n"), F.col("o.at")], percent)
+    return pairs.where(fit).select(F.least("rep", "o.rep").alias("a"), F.greatest("rep", "o.rep").alias("b")).distinct()
+
+
 def open_pairs(near: DataFrame, merged: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """(a, b) of rows in different components that share enough of their prefixes: within a column, rows meet in
     bands of size. Of a hot column, each part holds its own rows as one side, and all as the other."""
@@ -109,6 +126,16 @@ def links(firsts: DataFrame, percent: int, confirmed: Callable[[DataFrame], Data
     pairs = materialize(pairs.where("shared >= asked").select("a", "b"), "pairs")
     edges = materialize(confirmed(pairs).select("a", "b"), "links")
     merged = components(edges)
+    # groups of near copies whose hubs are too far from most: a few more tries each merge nearly all of them
+    for salt in range(ROUNDS):
+        tried = materialize(more_pairs(near, merged, salt, percent).join(pairs, ["a", "b"], "left_anti"), "tried")
+        if tried.isEmpty():
+            break
+        pairs, found = pairs.union(tried), materialize(confirmed(tried).select("a", "b"), "links")
+        if found.isEmpty():
+            break
+        edges = edges.union(found)
+        merged = components(edges)
     rest = materialize(open_pairs(near, merged, parts, percent).join(pairs, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         more = materialize(confirmed(rest).select("a", "b"), "links")
