@@ -23,7 +23,8 @@ def fold(text: Column) -> Column:
 
 
 def compatible(text: Column) -> Column:
-    """NFKC, trimmed, in lower case. Only texts beyond ASCII need the vectorised function."""
+    """NFKC, trimmed, in lower case. The vectorised function is handed every row, whichever branch it takes; texts of ASCII
+    alone come back from it as they are."""
     return fold(F.when(text.rlike(r"^[\x00-\x7F]*$"), text).otherwise(_nfkc(text)))
 
 
