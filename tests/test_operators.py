@@ -1,3 +1,4 @@
+import math
 import struct
 import zlib
 
@@ -153,3 +154,46 @@ def test_streamed_features(spark, tmp_path):
     stream_features(spark, source, sink, str(tmp_path / "state"))
     got = {r.filename: r for r in spark.read.parquet(sink).collect()}
     assert set(got) == {"d1", "d2", "d3"} and got["d1"].has_address_kw == 1 and got["d3"].has_bin_binti == 1
+
+
+def plain_edges(v):
+    """Share of edge pixels of a square picture, pixel by pixel."""
+    n = len(v)
+    at = lambda i: -i if i < 0 else 2 * n - 2 - i if i >= n else i
+    g = {}
+    for i in range(n):
+        for j in range(n):
+            w = lambda di, dj, i=i, j=j: float(v[at(i + di)][at(j + dj)])
+            gx = w(-1, 1) + 2 * w(0, 1) + w(1, 1) - w(-1, -1) - 2 * w(0, -1) - w(1, -1)
+            gy = w(1, -1) + 2 * w(1, 0) + w(1, 1) - w(-1, -1) - 2 * w(-1, 0) - w(-1, 1)
+            g[i, j] = (abs(gx) + abs(gy), round(math.atan2(gy, gx) / (math.pi / 4)) % 4)
+    steps = [(0, 1), (1, 1), (1, 0), (1, -1)]
+    size = lambda i, j: g[i, j][0] if (i, j) in g else 0.0
+    peak = {p for p, (s, k) in g.items() if s > size(p[0] - steps[k][0], p[1] - steps[k][1]) and s >= size(p[0] + steps[k][0], p[1] + steps[k][1])}
+    found = todo = {p for p in peak if g[p][0] > 150}
+    while todo:
+        todo = {q for i, j in todo for di in (-1, 0, 1) for dj in (-1, 0, 1) for q in [(i + di, j + dj)] if q in peak and g[q][0] > 50} - found
+        found = found | todo
+    return len(found) / n / n
+
+
+def test_edges_and_stats_of_every_picture(spark):
+    rows = spark.read.parquet(f"{FOLDER}/embeddings.parquet").collect()
+    grays = {r.vec_id: np.array([min(255, max(0, int(math.floor((float(x) + 1) * 127 + 0.5)))) for x in r.embedding]).reshape(8, 8) for r in rows}
+    got = {r.vec_id: r.edge_density for r in catalog.queries()["i4_edge_density"](spark, FOLDER).collect()}
+    assert set(got) == set(grays) and all(got[d] == pytest.approx(255 * plain_edges(v.tolist()), abs=1e-5) for d, v in grays.items())
+    stats = {r.vec_id: r for r in catalog.queries()["i12_image_stats"](spark, FOLDER).collect()}
+    assert set(stats) == {d for d in grays if d % 7 and d % 11}
+    for d, r in stats.items():
+        v = grays[d].astype(float)
+        padded = np.pad(v, 1, mode="reflect")
+        blur = (padded[:-2, 1:-1] + padded[2:, 1:-1] + padded[1:-1, :-2] + padded[1:-1, 2:] - 4 * v).var()
+        want = (blur, v.mean(), v.std(), got[d], (v <= 128).mean(), (54 + 3 * 64) / 1024)
+        assert (r.blur_score, r.brightness, r.contrast, r.edge_density, r.dark_pixel_ratio, r.file_kb) == pytest.approx(want, abs=1e-5)
+        assert r.quality_cat == ("Buram" if blur <= 50 else "Sedang" if blur <= 300 else "Tajam") and (r.width, r.height, r.is_portrait) == (8, 8, False)
+
+
+def test_numbers_of_sorted_rows(spark):
+    frame = spark.createDataFrame([(i * 7919 % 1000,) for i in range(1000)], "v int").repartition(5)
+    got = io.numbered(frame, ["v"], "nth").collect()
+    assert sorted((r.v, r.nth) for r in got) == [(i, i) for i in range(1000)]
