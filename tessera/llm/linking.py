@@ -23,8 +23,8 @@ SHARED, STEPS = 2, 6
 #: A column or class is hot with more than one in so many of all entries or rows, which bounds their number, and
 #: with more rows than a part is to have.
 HOT_SHARE, PART_ROWS = 100_000, 1_000
-#: Further rounds of tries, and how many places apart rows are tried in each.
-ROUNDS, LAGS = 2, 4
+#: How many places apart rows are tried in a further round.
+LAGS = 4
 
 
 def possible(pair: list[Column], percent: int) -> tuple[Column, Column]:
@@ -115,9 +115,10 @@ def open_pairs(near: DataFrame, merged: DataFrame, parts: DataFrame, percent: in
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("asked").alias("asked")).where("shared >= asked").select("a", "b")
 
 
-def links(firsts: DataFrame, percent: int, confirmed: Callable[[DataFrame], DataFrame], components: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def links(firsts: DataFrame, percent: int, confirmed: Callable[[DataFrame], DataFrame], components: Callable[[DataFrame], DataFrame], rounds: int = 0) -> tuple[DataFrame, DataFrame]:
     """(a, b) of confirmed pairs, enough to tell the components of all links; and the components, (id, component).
-    ``confirmed`` keeps the pairs (a, b) that are links."""
+    ``confirmed`` keeps the pairs (a, b) that are links. ``rounds`` of further linear tries pay where groups of near copies
+    lie about the bound, so that many are too far from their hubs; the result is the same."""
     near, parts = gathered(firsts)
     fit, asked = possible([F.col(c) for c in ("n", "at", "prev_n", "prev_at")], percent)
     pairs = tried_pairs(near).where(fit).groupBy(F.least("rep", "prev").alias("a"), F.greatest("rep", "prev").alias("b")).agg(
@@ -126,8 +127,7 @@ def links(firsts: DataFrame, percent: int, confirmed: Callable[[DataFrame], Data
     pairs = materialize(pairs.where("shared >= asked").select("a", "b"), "pairs")
     edges = materialize(confirmed(pairs).select("a", "b"), "links")
     merged = components(edges)
-    # groups of near copies whose hubs are too far from most: a few more tries each merge nearly all of them
-    for salt in range(ROUNDS):
+    for salt in range(rounds):
         tried = materialize(more_pairs(near, merged, salt, percent).join(pairs, ["a", "b"], "left_anti"), "tried")
         if tried.isEmpty():
             break

@@ -31,6 +31,8 @@ WORD = r"[\p{L}\p{N}]+|\|"
 CHAIN, GROUP_ROWS, MOST_GROUPS = 2, 2_000, 65_536
 #: Likeness of near copies in hundredths; buckets that signatures are counted in; ids that are broadcast at most, 16 MB.
 PERCENT, BUCKETS, FEW_IDS = 80, 1 << 16, 1_000_000
+#: Rounds of further tries: edits cost a set of few signatures much, so near copies often lie about the bound.
+ROUNDS = 2
 
 
 def signatures(text: Column, chain: int = CHAIN) -> Column:
@@ -157,7 +159,7 @@ def near_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         shared = F.size(F.array_intersect("x", "y"))
         return both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
-    _, merged = links(firsts, percent, confirmed, components_by_stars)
+    _, merged = links(firsts, percent, confirmed, components_by_stars, ROUNDS)
     classes = firsts.join(merged, F.col("rep") == F.col("id"), "left").select("k1", "k2", "copies", F.coalesce("component", "rep").alias("component"))
     out = given_back(named.select("doc_id", "k1", "k2"), ["k1", "k2"], classes, named.count())
     return out.select("doc_id", "k1", F.col("component").alias("near_class"))
