@@ -29,8 +29,8 @@ ANCHORS = (
 WORD = r"[\p{L}\p{N}]+|\|"
 #: Content words in a chain; rows of a group of neighbouring ids; most such groups, which bounds what is broadcast.
 CHAIN, GROUP_ROWS, MOST_GROUPS = 2, 2_000, 65_536
-#: Likeness of near copies in hundredths; buckets that signatures are counted in; ids that are broadcast at most, 16 MB.
-PERCENT, BUCKETS, FEW_IDS = 80, 1 << 16, 1_000_000
+#: Likeness of near copies in hundredths; buckets that signatures are counted in.
+PERCENT, BUCKETS = 80, 1 << 16
 #: Rounds of further tries: edits cost a set of few signatures much, so near copies often lie about the bound.
 ROUNDS = 2
 
@@ -141,10 +141,11 @@ def rarest_first(signed: DataFrame, percent: int) -> Column:
 
 
 def near_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, k1, near_class) of every row: the smallest id among the documents whose fingerprints are linked with
+    """(doc_id, near_class) of every row: the smallest id among the documents whose fingerprints are linked with
     that of the row, directly or through others, by a Jaccard of ``percent`` at least. Equal fingerprints are one class; sets meet
     under a rare signature, by neighbouring lengths first, then within bands of length, and no pair outside the
-    bounds of its lengths is compared. A null id is linked with nothing."""
+    bounds of its lengths is compared. Rows without an id are left out; a null text counts as empty, and equal texts are
+    one class; an empty table gives no rows; other columns are ignored."""
     k1, k2 = set_hash(F.col("signs"))
     signed = docs.select("doc_id", signatures(F.coalesce("text", F.lit(""))).alias("signs")).withColumn("k1", k1).withColumn("k2", k2)
     signed = materialize(signed, "signatures")
@@ -162,30 +163,24 @@ def near_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     _, merged = links(firsts, percent, confirmed, components_by_stars, ROUNDS)
     classes = firsts.join(merged, F.col("rep") == F.col("id"), "left").select("k1", "k2", "copies", F.coalesce("component", "rep").alias("component"))
     out = given_back(named.select("doc_id", "k1", "k2"), ["k1", "k2"], classes, named.count())
-    return out.select("doc_id", "k1", F.col("component").alias("near_class"))
+    return out.select("doc_id", F.col("component").alias("near_class"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every text and of its edited text, the likeness to that and to the next document, and the
-    smallest id among the near copies by fingerprint, ``near_class``.
+    """Fingerprints of every text and of its edited text, and the likeness to that and to the next document.
 
     A null text counts as empty; the only document is its own next; rows with equal ids follow each other by
-    text hash; a null id is the smallest, and has no near copies; a very long text has a very long fingerprint; an
-    empty table gives no rows; other columns, whatever their names, are ignored."""
+    text hash; a null id is the smallest; a very long text has a very long fingerprint; an empty table gives no rows;
+    other columns, whatever their names, are ignored."""
     docs = docs.select("doc_id", "text")
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.expr("substring(text, 1, length(text) - _half)"), F.expr("substring(next_text, 1, _half)"))
     out = with_next(docs).withColumn("_half", half).withColumn("_edited", edited).withColumn("_edited_signs", signatures(F.col("_edited")))
-    out = out.select(
+    return out.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("_edited", "utf-8"), 256).alias("edited_sha256"),
         fingerprint(F.col("signs")).alias("fingerprint"), fingerprint(F.col("_edited_signs")).alias("edited_fingerprint"),
         likeness(F.col("signs"), F.col("_edited_signs")).alias("near_edited"), likeness(F.col("signs"), F.col("next_signs")).alias("near_next"),
-        set_hash(F.col("signs"))[0].alias("k1"),
     )
-    # only rows whose class is not named after them need be told, in general few
-    told = materialize(near_classes(docs).where("near_class <> doc_id").distinct(), "near")
-    told = F.broadcast(told) if told.count() <= FEW_IDS else told
-    return out.join(told, ["doc_id", "k1"], "left").withColumn("near_class", F.coalesce("near_class", "doc_id")).drop("k1")
 
 
 def near_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:

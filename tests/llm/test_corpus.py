@@ -381,7 +381,7 @@ def test_likeness_of_every_row(query, docs):
         assert got.near_edited[d] == pytest.approx(plain_jaccard(t, t[: len(t) - half] + after[:half]))
 
 
-def test_near_classes_of_every_row(query, docs):
+def test_near_classes_of_every_row(spark, query, docs):
     got = query("op5_fingerprints").set_index("doc_id")
     sets = {d: {f[i : i + 8] for i in range(0, len(f), 8)} for d, f in got.fingerprint.items()}
     up = {d: d for d in sets}
@@ -400,8 +400,8 @@ def test_near_classes_of_every_row(query, docs):
                 up[max(a, b)] = min(a, b)
         for s in sets[d]:
             held[s].append(d)
-    assert got.near_class.to_dict() == {d: root(d) for d in sets}
-    assert (got.near_class != got.index).sum() > 20
+    classes = {r.doc_id: r.near_class for r in spotsigs.near_classes(spark.read.parquet(f"{FOLDER}/documents.parquet")).collect()}
+    assert classes == {d: root(d) for d in sets} and sum(c != d for d, c in classes.items()) > 20
 
 
 @pytest.mark.parametrize("group_rows", [3, 2000])
